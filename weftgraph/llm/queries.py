@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import quality
+from weftgraph.llm import langid, quality, simhash
 
 QUERIES = {
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_quality_classifier": quality.op9_quality_classifier,
+    "op10_language_id": langid.op10_language_id,
 }
 
 SQL: dict[str, str] = {}
