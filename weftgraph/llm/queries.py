@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import langid, quality, simhash, toxicity
+from weftgraph.llm import langid, mixing, quality, simhash, toxicity
 
 QUERIES = {
+    "op6_mixing": mixing.op6_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_quality_classifier": quality.op9_quality_classifier,
