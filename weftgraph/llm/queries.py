@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import langid, mixing, quality, simhash, toxicity
+from weftgraph.llm import chat, langid, mixing, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
     "op6_mixing": mixing.op6_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
@@ -12,4 +13,6 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_chat_formatting": chat.OP1_SQL,
+}
