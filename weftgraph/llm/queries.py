@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import chat, langid, mixing, quality, simhash, toxicity
+from weftgraph.llm import chat, langid, mixing, quality, simhash, topk, toxicity
 
 QUERIES = {
+    "op2_exact_top_k": topk.op2_exact_top_k,
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op6_mixing": mixing.op6_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
@@ -15,4 +16,5 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_chat_formatting": chat.OP1_SQL,
+    "op2_exact_top_k": topk.OP2_SQL,
 }
