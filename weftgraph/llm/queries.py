@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import chat, langid, mixing, quality, simhash, topk, toxicity
+from weftgraph.llm import chat, embdedup, langid, mixing, quality, simhash, topk, toxicity
 
 QUERIES = {
+    "op7_embedding_near_dedup": embdedup.op7_embedding_near_dedup,
     "op2_exact_top_k": topk.op2_exact_top_k,
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op6_mixing": mixing.op6_mixing,
