@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import chat, embdedup, langid, mixing, pieces, quality, simhash, topk, toxicity
+from weftgraph.llm import chat, embdedup, langid, mixing, pieces, pii, quality, simhash, topk, toxicity
 
 QUERIES = {
+    "op5_pii": pii.op5_pii,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op7_embedding_near_dedup": embdedup.op7_embedding_near_dedup,
     "op2_exact_top_k": topk.op2_exact_top_k,
