@@ -28,11 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     The result has no lineage to recompute after an executor is lost, and its
-    size on disk is known to the planner. Every read gives the same rows.
+    size on disk is known to the planner. Every read gives the same rows. The
+    codec is zstd: it compresses in heap memory, where the default's direct
+    buffers pile up outside the heap over many small tasks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out
