@@ -407,5 +407,5 @@ def _reify(c, args):
 def _wiretap(c, args):
     """Rows of a standing query's memory table, as far as it has come."""
     name = c.constant(args[0]).get("name")
-    rows = c.spark.table(f"tap_{name}")
+    rows = c.spark.table(f"global_temp.tap_{name}")
     return table(c, rows.select(F.col("data"), F.col("meta")))

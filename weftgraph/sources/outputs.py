@@ -30,7 +30,7 @@ def console(rows: int = 20) -> Output:
 
 
 def memory(name: str) -> Output:
-    """A temporary view with all results so far, `tap_<name>`; live taps read it."""
+    """A global temporary view with all results so far, `tap_<name>`; live taps read it."""
     kept: list[DataFrame] = []
 
     def out(df: DataFrame) -> None:
@@ -38,7 +38,7 @@ def memory(name: str) -> Output:
         whole = kept[0]
         for x in kept[1:]:
             whole = whole.unionByName(x, allowMissingColumns=True)
-        whole.createOrReplaceTempView(f"tap_{name}")
+        whole.createOrReplaceGlobalTempView(f"tap_{name}")
 
     return out
 

@@ -116,19 +116,21 @@ class StandingQuery:
             self.engine.events.append(batch)
         roots = self.affected(batch)
         new = settle(self.evaluate(roots))
+        near = roots.select(F.col("id").alias("root·id"))
+        mine = F.col(f"`{ROOT}`") == F.col("`root·id`")
         if self.results is None:
             self.results = new.limit(0)
         for f in new.schema:  # a property's type can appear or widen as the graph grows
             if f.name in self.results.columns and self.results.schema[f.name].dataType != f.dataType:
                 self.results = self.results.withColumn(f.name, F.col(f"`{f.name}`").cast(f.dataType))
-        hit = self.results.join(roots, F.col(f"`{ROOT}`") == F.col("id"), "left_semi")
+        hit = self.results.join(near, mine, "left_semi")
         plus, minus = new.exceptAll(hit), hit.exceptAll(new)
         signed = plus.withColumn("_sign", F.lit(True))
         if self.cancellations:
             signed = signed.unionByName(minus.withColumn("_sign", F.lit(False)))
         data = [c for c in new.columns if c != ROOT]
         out = settle(signed.select(F.struct(*[F.col(f"`{c}`") for c in data]).alias("data"), F.struct(F.col("_sign").alias("isPositiveMatch")).alias("meta")))
-        self.results = settle(self.results.join(roots, F.col(f"`{ROOT}`") == F.col("id"), "left_anti").unionByName(new))
+        self.results = settle(self.results.join(near, mine, "left_anti").unionByName(new))
         for o in self.outputs:
             o(out)
         return out
