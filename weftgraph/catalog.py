@@ -8,25 +8,38 @@ labels read the union of what could match.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@dataclass
-class VertexTable:
+class _Source:
+    """A table, or a function that reads it when a query first needs it."""
+
+    def __init__(self, source: DataFrame | Callable[[], DataFrame]):
+        self.source = source
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source() if callable(self.source) else self.source
+
+
+class VertexTable(_Source):
     """Vertices of a label, or of any labels where `label` is None and the table has a `labels` column."""
 
-    label: str | None
-    df: DataFrame
-    key: str
-    props: list[str] | None = None
+    def __init__(self, label: str | None, source, key: str, props: list[str] | None = None):
+        super().__init__(source)
+        self.label, self.key, self.named = label, key, props
 
-    def __post_init__(self):
-        if self.props is None:
-            self.props = [c for c in self.df.columns if not (self.label is None and c in (self.key, "labels"))]
+    @cached_property
+    def props(self) -> list[str]:
+        if self.named is not None:
+            return self.named
+        return [c for c in self.df.columns if not (self.label is None and c in (self.key, "labels"))]
 
     def gid(self, key: Column | None = None) -> Column:
         """The graph-wide id: label and key. A table of any labels has graph-wide keys already."""
@@ -37,20 +50,15 @@ class VertexTable:
         return self.df.schema[prop].dataType
 
 
-@dataclass
-class EdgeTable:
+class EdgeTable(_Source):
     """Edges of a type from src_label to dst_label (None: ids are graph-wide).
 
     `inline` names the endpoint ("src" or "dst") whose vertex table is df itself.
     """
 
-    type: str
-    src_label: str | None
-    dst_label: str | None
-    df: DataFrame
-    src: str
-    dst: str
-    inline: str | None = None
+    def __init__(self, type: str, src_label: str | None, dst_label: str | None, source, src: str, dst: str, inline: str | None = None):
+        super().__init__(source)
+        self.type, self.src_label, self.dst_label, self.src, self.dst, self.inline = type, src_label, dst_label, src, dst, inline
 
     def generic(self) -> DataFrame:
         """(from, type, to) with graph-wide ids; an edge is a set member, so repeated rows are one."""
@@ -66,11 +74,11 @@ class GraphCatalog:
     vertices: list[VertexTable] = field(default_factory=list)
     edges: list[EdgeTable] = field(default_factory=list)
 
-    def add_vertices(self, label: str, df: DataFrame, key: str, props: list[str] | None = None) -> GraphCatalog:
+    def add_vertices(self, label: str, df: DataFrame | Callable[[], DataFrame], key: str, props: list[str] | None = None) -> GraphCatalog:
         self.vertices.append(VertexTable(label, df, key, props))
         return self
 
-    def add_edges(self, type: str, src_label: str, dst_label: str, df: DataFrame, src: str, dst: str, inline: str | None = None) -> GraphCatalog:
+    def add_edges(self, type: str, src_label: str, dst_label: str, df: DataFrame | Callable[[], DataFrame], src: str, dst: str, inline: str | None = None) -> GraphCatalog:
         self.edges.append(EdgeTable(type, src_label, dst_label, df, src, dst, inline))
         return self
 
@@ -119,14 +127,25 @@ class GraphCatalog:
 
 def retail_graph(spark: SparkSession, sf_dir: str) -> GraphCatalog:
     """The tables of a sales warehouse and an event stream as a property graph."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    region, nation, customer, supplier = read("region"), read("nation"), read("customer"), read("supplier")
-    part, orders, events, documents = read("part"), read("orders"), read("events"), read("documents")
-    item = read("lineitem")
-    # Order and line number do not name a row; all its columns do, up to rows that are equal.
-    item = item.withColumn("item_id", F.concat_ws(":", *[c for c in item.columns if c not in ("l_tax", "l_returnflag", "l_linestatus")]))
-    user = events.select("user_id").distinct()
-    source = documents.select("source").distinct()
+    kept: dict[str, DataFrame] = {}
+
+    def read(t: str) -> Callable[[], DataFrame]:
+        def get() -> DataFrame:
+            if t not in kept:
+                kept[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            return kept[t]
+
+        return get
+
+    region, nation, customer, supplier, part, orders, events, documents, rows = map(read, "region nation customer supplier part orders events documents lineitem".split())
+
+    def item() -> DataFrame:
+        # Order and line number do not name a row; all its columns do, up to rows that are equal.
+        df = rows()
+        return df.withColumn("item_id", F.concat_ws(":", *[c for c in df.columns if c not in ("l_tax", "l_returnflag", "l_linestatus")]))
+
+    user = lambda: events().select("user_id").distinct()
+    source = lambda: documents().select("source").distinct()
     g = GraphCatalog(spark)
     g.add_vertices("Region", region, "r_regionkey").add_vertices("Nation", nation, "n_nationkey")
     g.add_vertices("Customer", customer, "c_custkey").add_vertices("Supplier", supplier, "s_suppkey")

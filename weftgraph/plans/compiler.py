@@ -137,6 +137,7 @@ class Compiler:
         self.row: str | None = None  # a column that correlates a subquery's rows with outer ones
         self.edges_seen: list = []
         self.one_row = df is None  # nothing but the unit row so far
+        self.lazy: set[str] = set()  # node variables of which only the key is asked for
 
     # Queries
     def query(self, q: A.Query) -> DataFrame:
@@ -239,10 +240,16 @@ class Compiler:
         self.scope = {**{k: v for k, v in inner.scope.items() if k not in self.scope}, **self.scope}
         self.one_row = False
 
-    def standalone(self, patterns: list, where) -> tuple[Compiler, list[str], list]:
+    def standalone(self, patterns: list, where, value=None) -> tuple[Compiler, list[str], list]:
         """Patterns matched on their own, the names they share with this scope, conditions that need this scope."""
         inner = Compiler(self.graph, self.params, writer=self.writer, procedures=self.procedures, unique=self.unique)
         inner.outer = self
+        # A shared node has the label it has here; one that is only matched by its key is not scanned again.
+        used = {n for e in [*conjuncts(where), value] if e is not None for n in self.names(e)}
+        labels = {k: v.label for k, v in self.scope.items() if isinstance(v, NodeVar) and v.label}
+        know = lambda n: dataclasses.replace(n, labels=(labels[n.var],)) if isinstance(n, A.NodePattern) and n.var in labels and not n.labels else n
+        patterns = [dataclasses.replace(p, parts=tuple(know(n) for n in p.parts)) for p in patterns]
+        inner.lazy = {k for k in labels if k not in used}
         for p in patterns:
             inner.pattern(p)
         deferred = inner.deferred if hasattr(inner, "deferred") else []
@@ -313,18 +320,19 @@ class Compiler:
         return replace(e, swap)
 
     def attach(self, p: A.PatternExpr, what: str):
-        inner, shared, rest = self.standalone([p.pattern], p.where)
+        inner, shared, rest = self.standalone([p.pattern], p.where, p.value)
         if rest:
             raise CompileProblem("a pattern inside an expression may use outer nodes only")
         keys = [(self.node(k), inner.scope[k], fresh(k)) for k in shared]
         out = fresh(what)
         value = inner.ev(p.value) if what == "list" else None
-        rows = inner.df.select(*[theirs.col("id").alias(n) for _, theirs, n in keys], *([value.col.alias(out)] if value else []))
+        by = lambda a, b: "key" if a.native and b.native and a.label == b.label else "id"
+        rows = inner.df.select(*[theirs.col(by(mine, theirs)).alias(n) for mine, theirs, n in keys], *([value.col.alias(out)] if value else []))
         agg = F.collect_list(out) if value else F.count(F.lit(1))
         rows = rows.groupBy(*[n for *_, n in keys]).agg(agg.alias(out))
         on = F.lit(True)
-        for mine, _, n in keys:
-            on = on & (mine.col("id") == F.col(f"`{n}`"))
+        for mine, theirs, n in keys:
+            on = on & (mine.col(by(mine, theirs)) == F.col(f"`{n}`"))
         self.df = self.df.join(rows, on, "left").drop(*[n for *_, n in keys])
         c = F.col(f"`{out}`")
         t = T.ArrayType(value.type) if value else LONG if what == "count" else BOOL
@@ -406,11 +414,15 @@ class Compiler:
         self.df = right if self.one_row and not self.df.columns else self.df.crossJoin(right)
         self.one_row = False
 
-    def start(self, p: A.NodePattern) -> NodeVar:
+    def start(self, p: A.NodePattern, ends: set | None = None) -> NodeVar:
+        """The first node of a pattern; `ends` are the labels that its relationships allow."""
         if p.var and p.var in self.scope:
             n = self.node(p.var)
         else:
-            right, n = self.scan(p.var or "anon", self.graph.tables([x for x in p.labels if not x.startswith("|")]))
+            tables = self.graph.tables([x for x in p.labels if not x.startswith("|")])
+            if ends and None not in ends:
+                tables = [t for t in tables if t.label is None or t.label in ends]
+            right, n = self.scan(p.var or "anon", tables)
             self.cross(right)
             self.scope[p.var or n.prefix] = n
         self.constrain(n, p)
@@ -424,8 +436,17 @@ class Compiler:
             self.df = self.df.where(F.col(f"`{v.name}`").isNotNull())
             return
         nodes, rels = p.parts[::2], p.parts[1::2]
-        at = next((i for i, n in enumerate(nodes) if n.var and n.var in self.scope), 0)
-        bound: dict[int, NodeVar] = {at: self.start(nodes[at])}
+        at = next((i for i, n in enumerate(nodes) if n.var and n.var in self.scope), None)
+        if at is None:
+            at = next((i for i, n in enumerate(nodes) if n.var not in self.lazy or n.props is not None), 0)
+        ends = None
+        if rels and not nodes[at].labels:
+            r, right = (rels[at], True) if at < len(rels) else (rels[at - 1], False)
+            if not (r.variable and r.low == 0):
+                ways = self.graph.edge_tables(list(r.types))
+                out = (r.direction == "out") == right
+                ends = {e.src_label for e in ways if out or r.direction == "both"} | {e.dst_label for e in ways if not out or r.direction == "both"}
+        bound: dict[int, NodeVar] = {at: self.start(nodes[at], ends)}
         steps: dict[int, Column] = {}
         for i in range(at, len(rels)):
             bound[i + 1], steps[i] = self.expand(bound[i], rels[i], nodes[i + 1], False)
@@ -508,8 +529,8 @@ class Compiler:
         if known is not None:
             self.df = self.df.where(known.col("key") == key if known.native and known.label == far_label else known.col("id") == table.gid(key))
             return self.ends(a, known, e, flipped) + (F.lit(e.type),)
-        if p.var is None and p.props is None:  # nobody looks at this vertex: its key will do
-            b = NodeVar(fresh("anon"), far_label, {}, native=True, loaded=False)
+        if (p.var is None or p.var in self.lazy) and p.props is None:  # nobody looks at this vertex: its key will do
+            b = NodeVar(fresh(p.var or "anon"), far_label, {}, native=True, loaded=False)
             self.df = self.df.where(key.isNotNull()).withColumns({b.name("key"): key, b.name("id"): table.gid(key)})
         else:
             right, b = self.scan(p.var or "anon", [table])
