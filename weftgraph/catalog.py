@@ -82,9 +82,9 @@ class GraphCatalog:
         self.edges.append(EdgeTable(type, src_label, dst_label, df, src, dst, inline))
         return self
 
-    def tables(self, labels: list[str]) -> list[VertexTable]:
-        """Tables that can hold vertices with all these labels."""
-        return [v for v in self.vertices if v.label is None or all(x == v.label for x in labels)]
+    def tables(self, groups: list[list[str]]) -> list[VertexTable]:
+        """Tables that can hold vertices with a label of every group."""
+        return [v for v in self.vertices if v.label is None or all(v.label in g for g in groups)]
 
     def table(self, label: str) -> VertexTable | None:
         return next((v for v in self.vertices if v.label == label), None)

@@ -93,6 +93,17 @@ def conjuncts(e) -> list:
     return [*conjuncts(e.args[0]), *conjuncts(e.args[1])] if isinstance(e, A.Op) and e.op == "AND" else [e]
 
 
+def label_groups(labels: tuple) -> list[list[str]]:
+    """Labels that a node must all have, each as its alternatives: (:A|B:C) is [[A, B], [C]]."""
+    out: list[list[str]] = []
+    for x in labels:
+        if x.startswith("|"):
+            out[-1].append(x[1:])
+        else:
+            out.append([x])
+    return out
+
+
 def children(e) -> list:
     """Sub-expressions of a dataclass node, through tuples."""
     out = []
@@ -385,16 +396,14 @@ class Compiler:
 
     def label_tests(self, n: NodeVar, labels: tuple) -> Column | None:
         out = None
-        for x in labels:
-            if x.startswith("|"):
-                continue
-            test = F.lit(True) if n.label == x else F.array_contains(n.col("labels"), x)
+        for group in label_groups(labels):
+            test = F.lit(True) if n.label in group else F.arrays_overlap(n.col("labels"), F.array(*[F.lit(x) for x in group])) if len(group) > 1 else F.array_contains(n.col("labels"), group[0])
             out = test if out is None else out & test
         return out
 
     def constrain(self, n: NodeVar, p: A.NodePattern) -> None:
         test = self.label_tests(n, p.labels)
-        if test is not None and not all(n.label == x for x in p.labels):
+        if test is not None and not all(n.label in g for g in label_groups(p.labels)):
             self.df = self.df.where(F.coalesce(test, F.lit(False)))
         if isinstance(p.props, A.MapLit):
             for k, e in p.props.items:
@@ -419,7 +428,7 @@ class Compiler:
         if p.var and p.var in self.scope:
             n = self.node(p.var)
         else:
-            tables = self.graph.tables([x for x in p.labels if not x.startswith("|")])
+            tables = self.graph.tables(label_groups(p.labels))
             if ends and None not in ends:
                 tables = [t for t in tables if t.label is None or t.label in ends]
             right, n = self.scan(p.var or "anon", tables)
@@ -477,7 +486,7 @@ class Compiler:
     def expand(self, a: NodeVar, rel: A.RelPattern, p: A.NodePattern, back: bool) -> tuple[NodeVar, Column]:
         """One relationship further: the node there, and the relationships taken as an array."""
         known = self.node(p.var) if p.var and p.var in self.scope else None
-        labels = [x for x in p.labels if not x.startswith("|")] + ([known.label] if known is not None and known.label else [])
+        labels = [g[0] for g in label_groups(p.labels) if len(g) == 1] + ([known.label] if known is not None and known.label else [])
         if rel.props is not None and rel.props.items:
             self.df = self.df.where(F.lit(False))  # relationships have no properties
         ways = self.oriented(NodeVar("", None, {}) if rel.variable else a, rel, [] if rel.variable else labels, back)
@@ -568,7 +577,7 @@ class Compiler:
         if known is not None:
             self.df = self.df.where(known.col("id") == to)
             return known
-        tables = self.graph.tables([x for x in p.labels if not x.startswith("|")])
+        tables = self.graph.tables(label_groups(p.labels))
         if far and None not in far:
             tables = [t for t in tables if t.label is None or t.label in far]
         if p.var is None and p.props is None and not p.labels:

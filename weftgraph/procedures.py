@@ -409,3 +409,33 @@ def _wiretap(c, args):
     name = c.constant(args[0]).get("name")
     rows = c.spark.table(f"global_temp.tap_{name}")
     return table(c, rows.select(F.col("data"), F.col("meta")))
+
+
+@procedure("subscribers", ["queryName"], "(node) :: (queryName)")
+@procedure("subscriptions", ["queryName"], "(node) :: (queryName)")
+def _subscribers(c, args):
+    """Standing queries with a match rooted at the node."""
+    n = node_of(c, args[0])
+    k, q = fresh("id"), fresh("query")
+    rows = c.spark.createDataFrame([], "id string, q string")
+    for name, sq in getattr(c.procedures, "standing", {}).items():
+        rows = rows.unionByName(sq.results.select(F.col("`·root`").alias("id"), F.lit(name).alias("q")).distinct())
+    rows = rows.select(F.col("id").alias(k), F.col("q").alias(q))
+    c.df = c.df.join(rows, n.col("id") == F.col(f"`{k}`"))
+    return {"queryName": Val(F.col(f"`{q}`"), STRING)}
+
+
+@procedure("parseProtobuf", ["value"], "(bytes, schemaFile, typeName) :: (value)")
+def _parse_protobuf(c, args):
+    from weftgraph.sources.protobuf import parser
+
+    f = parser(c.constant(args[1]), c.constant(args[2]))
+    return {"value": Val(F.parse_json(f(c.ev(args[0]).col)), T.VariantType())}
+
+
+@procedure("toProtobuf", ["protoBytes"], "(map, schemaFile, typeName) :: (protoBytes)")
+def _to_protobuf(c, args):
+    from weftgraph.sources.protobuf import writer
+
+    f = writer(c.constant(args[1]), c.constant(args[2]))
+    return {"protoBytes": Val(f(F.to_json(c.ev(args[0]).col)), T.BinaryType())}

@@ -39,6 +39,7 @@ _add("relationship_uniqueness", "MATCH (a:Nation)-[:IN_REGION]->(r:Region)<-[:IN
 _add("cycle", "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier)<-[:FROM_SUPPLIER]-(i:Item)<-[:CONTAINS]-(o:Order)<-[:PLACED]-(c) RETURN n.n_name AS nation, count(*) AS n",
      "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey AND o_custkey = c_custkey GROUP BY 1")
 _add("local_node", "MATCH (c:Customer {c_mktsegment: 'BUILDING', c_nationkey: 3}) RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
+_add("label_alternatives", "MATCH (x:Customer|Supplier)-[:IN_NATION]->(n:Nation) RETURN n.n_name AS nation, count(x) AS n", "SELECT n_name AS nation, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) JOIN nation ON n_nationkey = k GROUP BY 1")
 _add("union_all", "MATCH (n:Nation) RETURN n.n_regionkey AS k UNION ALL MATCH (r:Region) RETURN r.r_regionkey AS k", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 _add("union", "MATCH (n:Nation) RETURN n.n_regionkey AS k UNION MATCH (r:Region) RETURN r.r_regionkey AS k", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region")
 _add("semi_apply", "MATCH (c:Customer) WHERE (c)-[:PLACED]->(:Order {o_orderstatus: 'F'}) RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
@@ -78,7 +79,7 @@ _add("comparison", "UNWIND [1, 2, null] AS x RETURN x, x = 1 AS e, x <> 1 AS d,
      "SELECT CAST(x AS BIGINT) AS x, x = 1 AS e, x <> 1 AS d, x < 2 AS l, x IS NULL AS n, CASE WHEN x = 1 THEN true END AS i, NOT (x = 1) OR x = 2 AS o, (x = 1) <> (x = 2) AS xo FROM (VALUES (1), (2), (NULL)) t(x)")
 _add("equality", "RETURN [1, 2] = [1, 2] AS a, [1, 2] = [1, 3] AS b, [1] = [1, 2] AS c, [1, null] = [1, 2] AS d, 1 = 1.0 AS e, 1 = 'a' AS f, null = null AS g, {a: 1, b: 2} = {b: 2, a: 1} AS h, 0.0 / 0.0 = 0.0 / 0.0 AS i",
      "SELECT true AS a, false AS b, false AS c, CAST(NULL AS BOOLEAN) AS d, true AS e, false AS f, CAST(NULL AS BOOLEAN) AS g, true AS h, false AS i")
-_add("string_predicates", "MATCH (p:Part) WHERE p.p_type CONTAINS 'STEEL' AND p.p_brand ENDS WITH '1' AND p.p_name =~ '.*a.*' RETURN p.p_partkey AS k", "SELECT p_partkey AS k FROM part WHERE contains(p_type, 'STEEL') AND ends_with(p_brand, '1') AND regexp_full_match(p_name, '.*a.*')")
+_add("string_predicates", "MATCH (p:Part) WHERE p.p_type CONTAINS 'CON' AND p.p_brand ENDS WITH '1' AND p.p_name =~ '.*i.*' RETURN p.p_partkey AS k", "SELECT p_partkey AS k FROM part WHERE contains(p_type, 'CON') AND ends_with(p_brand, '1') AND regexp_full_match(p_name, '.*i.*')")
 _add("lists", "WITH [1, 2, 3, 4, 5] AS xs RETURN xs[0] AS a, xs[-1] AS b, xs[9] AS c, size(xs[1..3]) AS d, size(xs[..-1]) AS e, head(tail(xs)) AS f, last(reverse(xs)) AS g, size(xs + 6) AS h, reduce(s = 0, x IN xs | s + x) AS i",
      "SELECT CAST(1 AS BIGINT) AS a, CAST(5 AS BIGINT) AS b, CAST(NULL AS BIGINT) AS c, CAST(2 AS BIGINT) AS d, CAST(4 AS BIGINT) AS e, CAST(2 AS BIGINT) AS f, CAST(1 AS BIGINT) AS g, CAST(6 AS BIGINT) AS h, CAST(15 AS BIGINT) AS i")
 _add("list_predicates", "UNWIND range(1, 6) AS n WITH n, range(1, n) AS xs RETURN n, all(x IN xs WHERE x < 4) AS a, any(x IN xs WHERE x = 3) AS b, none(x IN xs WHERE x > 5) AS c, single(x IN xs WHERE x % 3 = 0) AS d, size([x IN xs WHERE x % 2 = 0 | x * x]) AS e",

@@ -86,6 +86,7 @@ class StandingQuery:
         r.items = [*r.items, (A.Call("id", (A.Var(self.root),)), ROOT)]
         self.query = q
         self.results = settle(self.evaluate()) if propagate else None
+        engine.standing[name] = self
 
     def evaluate(self, roots: DataFrame | None = None) -> DataFrame:
         """All matches, or those of the roots (id)."""
