@@ -120,9 +120,10 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """docs with each row as often as the mix takes it: its taken words, in whole copies, rounded to the nearest."""
     taken = mix(sizes(docs), seed)
     times = cut(taken.where("size > 0").groupBy("doc_id", "size").agg(F.sum("taken").alias("_t"), F.count("*").alias("_n")))
-    per_row = F.floor(F.col("_t") / (F.col("_n") * F.col("_size")) + 0.5).cast("int")
-    out = docs.join(times.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_t", "_n"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) == F.col("_size")))
-    return out.withColumn("_copy", F.explode(F.when(per_row > 0, F.sequence(F.lit(1), per_row)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    own = times.select(F.col("doc_id").alias("weft·id"), F.col("size").alias("weft·size"), F.floor(F.col("_t") / (F.col("_n") * F.col("size")) + 0.5).cast("int").alias("weft·times"))
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    out = docs.join(own.where("`weft·times` > 0"), F.col("doc_id").eqNullSafe(F.col("`weft·id`")) & (words == F.col("`weft·size`")))
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("`weft·times`"))).alias("weft·copy")).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,8 +286,8 @@ def redact(docs: DataFrame) -> DataFrame:
         return [pa.array([_redacted(t, fitted) for t in texts], pa.string())]
 
     columns = docs.columns
-    out = map_texts(docs, columns, "text", "_clean string", run)
-    new = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("long")}
+    out = map_texts(docs, columns, "text", "`weft·clean` string", run)
+    new = {"text": F.col("`weft·clean`"), "n_chars": F.length("`weft·clean`").cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
 
 

@@ -81,15 +81,17 @@ def near_groups(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id (of repeated ids, any one row; ids null: one row)."""
+    """docs with one row of each group: the one with the smallest doc_id (of a repeated id, one row for each fingerprint)."""
     prints = cut(fingerprints(docs, ["doc_id"], words))
     named = cut(groups(prints))
     kept = prints.join(named, "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = cut(kept.groupBy("doc_id").agg(F.count("*").alias("_n")))
-    out = docs.join(ids.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    out = docs.join(ids.select(F.col("doc_id").alias("weft·kept")), F.col("doc_id").eqNullSafe(F.col("`weft·kept`")), "left_semi")
     if ids.where("_n > 1").limit(1).count():  # an id that stands on several rows
-        prints = fingerprints(out, out.columns, words)
-        out = prints.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
+        names = [f"weft·{i}" for i in range(len(docs.columns))]
+        at = {c: F.col(f"`{n}`") for c, n in zip(docs.columns, names)}
+        prints = fingerprints(out.toDF(*names).withColumn("text", at["text"]), names, words)
+        out = prints.dropDuplicates([names[docs.columns.index("doc_id")], "_fp"]).select(*[F.col(f"`{n}`") for n in names]).toDF(*docs.columns)
     return out
 
 
