@@ -57,7 +57,9 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     while (1 << (len(jumps) - 1)) < most and jumps[-1].where("jump is not null").limit(1).count():
         one = jumps[-1]
         two = one.select("conv", F.col("node").alias("jump"), F.col("jump").alias("_far"), F.col("score").alias("_more"))
-        jumps.append(cut(one.join(two, ["conv", "jump"], "left").select("conv", "node", F.col("_far").alias("jump"), (F.col("score") + F.coalesce("_more", F.lit(0.0))).alias("score"))))
+        # Nodes that know their root already are not joined again.
+        further = one.where("jump is not null").join(two, ["conv", "jump"]).select("conv", "node", F.col("_far").alias("jump"), (F.col("score") + F.col("_more")).alias("score"))
+        jumps.append(cut(further.unionByName(one.where("jump is null"))))
     scored = jumps[-1].where("jump is null").select("conv", "node", "score").join(leaves, ["conv", "node"])
     best = W.partitionBy("conv").orderBy(F.col("score").desc(), "node")
     chosen = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("conv", "rank", F.col("node").alias("leaf"))
