@@ -20,4 +20,5 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op2_exact_top_k": topk.OP2_SQL,
+    "op7_embedding_near_dedup": embdedup.OP7_SQL,
 }
