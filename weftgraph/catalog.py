@@ -65,7 +65,8 @@ class EdgeTable(_Source):
         gid = lambda label, c: F.col(c).cast("string") if label is None else F.concat(F.lit(label + ":"), F.col(c).cast("string"))
         kind = F.col("type") if self.type == "*" else F.lit(self.type)
         rows = self.df.where(F.col(self.src).isNotNull() & F.col(self.dst).isNotNull())
-        return rows.select(gid(self.src_label, self.src).alias("from"), kind.alias("type"), gid(self.dst_label, self.dst).alias("to")).distinct()
+        out = rows.select(gid(self.src_label, self.src).alias("from"), kind.alias("type"), gid(self.dst_label, self.dst).alias("to"))
+        return out if self.inline else out.distinct()  # a vertex row is one edge
 
 
 @dataclass
@@ -112,7 +113,12 @@ class GraphCatalog:
         return out if out is not None else self.spark.createDataFrame([], "id string, labels array<string>, properties string")
 
     def relationship_types(self) -> DataFrame:
-        return self.all_edges([]).select(F.col("type").alias("relationshipType")).distinct()
+        """Types with an edge; of a table of one type a single edge is looked at."""
+        out = self.spark.createDataFrame([], "relationshipType string")
+        for e in self.edges:
+            rows = e.df.where(F.col(e.src).isNotNull() & F.col(e.dst).isNotNull())
+            out = out.unionByName(rows.select(F.col("type").alias("relationshipType")).distinct() if e.type == "*" else rows.limit(1).select(F.lit(e.type).alias("relationshipType")))
+        return out.distinct()
 
     def property_keys(self) -> DataFrame:
         return self.spark.createDataFrame(sorted({(p,) for v in self.vertices for p in v.props}), "propertyKey string")
