@@ -122,7 +122,8 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     times = cut(taken.where("size > 0").groupBy("doc_id", "size").agg(F.sum("taken").alias("_t"), F.count("*").alias("_n")))
     own = times.select(F.col("doc_id").alias("weft·id"), F.col("size").alias("weft·size"), F.floor(F.col("_t") / (F.col("_n") * F.col("size")) + 0.5).cast("int").alias("weft·times"))
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    out = docs.join(own.where("`weft·times` > 0"), F.col("doc_id").eqNullSafe(F.col("`weft·id`")) & (words == F.col("`weft·size`")))
+    # The same plan at every size: texts are moved once and not sorted.
+    out = docs.join(own.where("`weft·times` > 0").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("`weft·id`")) & (words == F.col("`weft·size`")))
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("`weft·times`"))).alias("weft·copy")).select(*docs.columns)
 
 

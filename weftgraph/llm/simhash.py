@@ -86,7 +86,8 @@ def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     named = cut(groups(prints))
     kept = prints.join(named, "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = cut(kept.groupBy("doc_id").agg(F.count("*").alias("_n")))
-    out = docs.join(ids.select(F.col("doc_id").alias("weft·kept")), F.col("doc_id").eqNullSafe(F.col("`weft·kept`")), "left_semi")
+    # The same plan at every size: ids are hashed partition by partition, texts are moved once and not sorted.
+    out = docs.join(ids.select(F.col("doc_id").alias("weft·kept")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("`weft·kept`")), "left_semi")
     if ids.where("_n > 1").limit(1).count():  # an id that stands on several rows
         names = [f"weft·{i}" for i in range(len(docs.columns))]
         at = {c: F.col(f"`{n}`") for c, n in zip(docs.columns, names)}
