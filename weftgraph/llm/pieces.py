@@ -37,7 +37,7 @@ UNIGRAM, BPE = 1, 2
 PROBES = ["", " ", "a", "Hello world", "  two  spaces ", "tab\tline\n\n", "über naïve ça ñ", "▁x", "日本語 🙂 \u0000", "<s> </s> <0x0A> <unk>", " " * 37 + "x", "http://a.b/c?d=1&e=%20", "A" * 300, "1234567890 12.5e-3", "The quick brown fox; 'jumps' over \"it\"."]
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words whose ids a task keeps; bounds its memory.
-_KNOWN = 300_000
+_KNOWN = 100_000
 
 
 class Codec:
