@@ -187,7 +187,8 @@ class CallProc:
 @dataclass
 class SubQuery:
     query: Any
-    recursive: Any = None
+    recursive: Any = None  # initial items of a recursive one
+    until: Any = None
 
 
 @dataclass

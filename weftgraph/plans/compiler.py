@@ -713,30 +713,38 @@ class Compiler:
         self.scope |= out.scope
 
     def recursive(self, c: A.SubQuery) -> None:
-        """Repeat the body on its own results; rows that add nothing new end it, at most MOST_HOPS rounds."""
+        """Run the body on its own results: rows that are done come out, the others' variables go in again."""
+        row = fresh("row")
+        self.df = settle((self.df if self.df.columns else self.spark.range(1)).withColumn(row, F.monotonically_increasing_id()))
+        self.one_row = False
         now = self.child()
+        now.row = row
         now.project(A.Projection(c.recursive, False, False, [], None, None, None, False))
         now = now.flat()
-        done = None
+        types = {k: v.type for k, v in now.scope.items()}
+        names, done = None, None
         for _ in range(MOST_HOPS):
-            step = Compiler(self.graph, self.params, settle(now.df), now.scope, self.writer, self.procedures, self.unique)
+            step = Compiler(self.graph, self.params, now.df, now.scope, self.writer, self.procedures, self.unique)
+            step.row, step.one_row = row, False
             step.query(c.query)
             step = step.flat()
-            rows = settle(step.result())
-            done_now = rows.where(F.col(rows.columns[-1])) if rows.columns and rows.columns[-1] == "done" else rows.limit(0)
-            done = done_now if done is None else done.unionByName(done_now)
-            left = rows.where(~F.col("done")) if "done" in rows.columns else rows.limit(0)
-            if "done" not in rows.columns:
-                done = rows
-                break
-            if left.isEmpty():
+            step.df = settle(step.df)
+            missing = [k for k in types if k not in step.scope]
+            if missing:
+                raise CompileProblem(f"the recursive part does not return {', '.join(missing)}")
+            names = names or {k: (fresh(k), v.type) for k, v in step.scope.items()}
+            end = F.coalesce(step.ev(c.until).col, F.lit(False))
+            part = step.df.where(end).select(row, *[F.col(f"`{step.scope[k].name}`").cast(t).alias(n) for k, (n, t) in names.items()])
+            done = part if done is None else done.unionByName(part)
+            rest = step.df.where(~end)
+            if rest.isEmpty():
                 break
-            names = {k: fresh(k) for k in now.scope}
-            now.df = left.select(*[F.col(k).alias(n) for k, n in names.items()])
-            now.scope = {k: ValueVar(n, now.scope[k].type) for k, n in names.items()}
-        names = {k: fresh(k) for k in done.columns}
-        self.cross(done.select(*[F.col(k).alias(n) for k, n in names.items()]))
-        self.scope |= {k: ValueVar(n, done.schema[k].dataType) for k, n in names.items()}
+            again = {k: fresh(k) for k in types}
+            now = self.child()
+            now.df = rest.select(row, *[F.col(f"`{step.scope[k].name}`").cast(t).alias(again[k]) for k, t in types.items()])
+            now.scope = {k: ValueVar(again[k], t) for k, t in types.items()}
+        self.df = self.df.join(done.withColumnRenamed(row, row + "'"), F.col(f"`{row}`") == F.col(f"`{row}'`")).drop(row, row + "'")
+        self.scope |= {k: ValueVar(n, t) for k, (n, t) in names.items()}
 
     # Projections
     def do_projection(self, c: A.Projection) -> None:

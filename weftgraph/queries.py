@@ -54,7 +54,9 @@ _add("unwind", "UNWIND [[1, 2], [], [3, null]] AS xs UNWIND xs AS x RETURN x, si
 _add("with_where", "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n, max(o.o_totalprice) AS top WHERE n > 15 RETURN c.c_custkey AS k, n, top", "SELECT o_custkey AS k, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1 HAVING count(*) > 15")
 _add("subquery", "MATCH (n:Nation) CALL { WITH n MATCH (n)<-[:IN_NATION]-(c:Customer) RETURN c.c_custkey AS k, c.c_acctbal AS b ORDER BY b DESC, k LIMIT 2 } RETURN n.n_name AS nation, k",
      "SELECT n_name AS nation, c_custkey AS k FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) JOIN nation ON n_nationkey = c_nationkey WHERE r <= 2")
-_add("recursive_call", "CALL RECURSIVELY WITH 1 AS x, false AS done { WITH x RETURN x * 2 AS x, x * 2 >= 100 AS done } RETURN x", "SELECT CAST(128 AS BIGINT) AS x")
+_add("recursive_call", "CALL RECURSIVELY WITH 0 AS x UNTIL (y > 5) { RETURN x + 1 AS x, x AS y } RETURN x, y", "SELECT CAST(7 AS BIGINT) AS x, CAST(6 AS BIGINT) AS y")
+_add("recursive_fan_out", "CALL RECURSIVELY WITH 1 AS max UNTIL (max > 3) { UNWIND range(1, max) AS x RETURN x, max + 1 AS max } RETURN x", "SELECT CAST(x AS BIGINT) AS x FROM (VALUES (1), (2), (3), (1), (2), (3)) t(x)")
+_add("recursive_correlated", "MATCH (r:Region) CALL RECURSIVELY WITH r.r_regionkey AS k UNTIL (k >= 10) { RETURN k + 3 AS k } RETURN r.r_name AS name, k", "SELECT r_name AS name, CAST(r_regionkey + 3 * ceil((10 - r_regionkey) / 3.0) AS BIGINT) AS k FROM region")
 _add("pattern_comprehension", "MATCH (r:Region) RETURN r.r_name AS region, size([(r)<-[:IN_REGION]-(n:Nation) WHERE n.n_nationkey > 5 | n.n_name]) AS n", "SELECT r_name AS region, CAST((SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey > 5) AS BIGINT) AS n FROM region")
 _add("shortest_path", "MATCH (c:Customer), (r:Region) WHERE c.c_custkey < 20 WITH c, r, shortestPath((c)-[:IN_NATION|IN_REGION*..5]->(r)) AS p WHERE p IS NOT NULL RETURN c.c_custkey AS k, r.r_name AS region, length(p) AS hops",
      "SELECT c_custkey AS k, r_name AS region, CAST(2 AS BIGINT) AS hops FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey < 20")
@@ -166,9 +168,36 @@ def standing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["standing_query"] = "SELECT user_id AS user, CAST(count(*) FILTER (event_type = 'error') * count(*) FILTER (event_type = 'purchase') AS BIGINT) AS n FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') * count(*) FILTER (event_type = 'purchase') > 0"
 
+def value_hash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and suppliers by key; as a hand-built plan, in which nulls would meet."""
+    from weftgraph.operators import relational as R
+
+    g = Engine.retail(spark, sf_dir).catalog
+    n, s = R.anchored_entry(g, "n", "Nation"), R.anchored_entry(g, "s", "Supplier")
+    return R.adjust_context(R.value_hash_join(n, s, "n_key", "s_s_nationkey"), nation="n_n_name", supplier="s_key")
+
+
+SQL["value_hash_join"] = "SELECT n_name AS nation, s_suppkey AS supplier FROM nation JOIN supplier ON s_nationkey = n_nationkey"
+
+
+def or_else(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's suppliers, or a row of its own where it has none."""
+    from weftgraph.operators import relational as R
+
+    g = Engine.retail(spark, sf_dir).catalog
+    n = R.anchored_entry(g, "n", "Nation")
+    hits = R.expand(n, g, "n", "IN_NATION", "s", "in").where("s_id like 'Supplier:%'").select("n_id", F.col("s_id").alias("found"))
+    other = n.select("n_id", F.lit("none").alias("found"))
+    return R.or_else(n.select("n_id"), hits, other, ["n_id"]).select(F.col("n_id").alias("id"), "found")
+
+
+SQL["or_else"] = "SELECT 'Nation:' || n_nationkey AS id, coalesce('Supplier:' || s_suppkey, 'none') AS found FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{k: _cypher(v) for k, v in CYPHER.items()},
     **{k: (lambda spark, sf_dir, text=t: Engine.retail(spark, sf_dir).gremlin(text)) for k, (t, _) in GREMLIN.items()},
+    "value_hash_join": value_hash_join,
+    "or_else": or_else,
     "random_walk_lengths": random_walk_lengths,
     "ingest_counts": ingest_counts,
     "standing_query": standing_query,
