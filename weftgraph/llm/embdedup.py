@@ -100,11 +100,13 @@ def near_groups(vectors: DataFrame, least: float = 0.93, block_rows: int = 2048)
     big = F.array_max(F.transform("x", lambda v: F.abs(v)))
     able = F.coalesce(valid(F.col("x")) & F.col("label").isNotNull() & (big > 0), F.lit(False))
     rows = cut(rows.withColumn("able", able))
-    classes = cut(rows.where("able").groupBy("label", "x").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("c", F.monotonically_increasing_id()))
+    classes = cut(rows.where("able").groupBy("label", "x").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("big", big).withColumn("c", F.monotonically_increasing_id()))
     sizes = classes.groupBy("label", F.size("x").alias("dim")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    dealt = classes.withColumn("dim", F.size("x")).join(sizes, ["label", "dim"])
+    # The scale is a written column: inside the lambda it would be found again for every component.
+    scaled = classes.select("label", "c", "n", F.size("x").alias("dim"), F.transform("x", lambda v: v / F.col("big")).alias("x"))
+    dealt = scaled.join(sizes, ["label", "dim"])
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64("c"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "dim", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "c", "n", F.transform("x", lambda v: v / big).alias("x"))
+    dealt = dealt.select("label", "dim", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "c", "n", "x")
 
     def compare(t: pa.Table) -> pa.Table:
         dim, i, j = (t[k][0].as_py() for k in ("dim", "i", "j"))
