@@ -146,6 +146,7 @@ class Compiler:
         self.scope: dict = dict(scope or {})
         self.writer, self.procedures, self.unique = writer, procedures, unique
         self.row: str | None = None  # a column that correlates a subquery's rows with outer ones
+        self.row_ids: DataFrame | None = None  # all its values
         self.edges_seen: list = []
         self.one_row = df is None  # nothing but the unit row so far
         self.lazy: set[str] = set()  # node variables of which only the key is asked for
@@ -165,7 +166,7 @@ class Compiler:
 
     def child(self) -> Compiler:
         c = Compiler(self.graph, self.params, self.df, self.scope, self.writer, self.procedures, self.unique)
-        c.row, c.one_row = self.row, self.one_row
+        c.row, c.row_ids, c.one_row = self.row, self.row_ids, self.one_row
         return c
 
     def union(self, other: Compiler, every: bool) -> Compiler:
@@ -694,7 +695,7 @@ class Compiler:
         outs = []
         for clauses in c.query.branches:
             inner = self.child()
-            inner.row, inner.one_row = row, False
+            inner.row, inner.row_ids, inner.one_row = row, self.df.select(row), False
             first, rest = clauses[0], clauses
             plain = isinstance(first, A.Projection) and not first.final and all(isinstance(e, A.Var) and e.name == n for e, n in first.items) and not first.where and first.limit is None
             if plain and not first.star:
@@ -823,7 +824,7 @@ class Compiler:
 
     def group(self, items: list, order: list) -> tuple[list, list]:
         """groupBy on the items without aggregates; gives back items and order over the grouped rows."""
-        keys, aggs, found = {}, {}, {}
+        keys, aggs, found, none = {}, {}, {}, {}
         new_scope: dict = {}
         first = {}
         for e, n in items:
@@ -855,6 +856,7 @@ class Compiler:
                     args = [Val(node.col("id"), STRING)] if isinstance(node, NodeVar) else [self.ev(self.prepared(y)) for y in x.args]
                     v = aggregates.aggregate(x.name, args, x.distinct, x.star)
                     aggs[name] = v.col.alias(name)
+                    none[name] = F.lit(0) if x.name.lower() in ("count", "sum", "stdev", "stdevp") and not isinstance(v.type, T.DayTimeIntervalType) else F.array().cast(v.type) if x.name.lower() == "collect" else None
                     found[repr(x)] = name
                     new_scope[name] = ValueVar(name, v.type)
                 return A.Var(found[repr(x)])
@@ -866,6 +868,8 @@ class Compiler:
         sorts = [(e if isinstance(e, A.Var) and e.name in aliases else replace(e, swap), up) for e, up in order]
         by = ([F.col(self.row)] if self.row else []) + [c.alias(k) for k, c in keys.items()]
         self.df = self.df.groupBy(*by).agg(*aggs.values(), *first.values()) if aggs or first else self.df.select(*by).distinct()
+        if self.row and self.row_ids is not None and not keys:  # an outer row without inner rows still has its aggregates
+            self.df = self.row_ids.join(self.df, self.row, "left").withColumns({k: F.coalesce(F.col(f"`{k}`"), c.cast(new_scope[k].type)) for k, c in none.items() if c is not None})
         self.scope = new_scope
         self.one_row = False
         return out, sorts

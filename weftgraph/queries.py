@@ -54,6 +54,8 @@ _add("unwind", "UNWIND [[1, 2], [], [3, null]] AS xs UNWIND xs AS x RETURN x, si
 _add("with_where", "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n, max(o.o_totalprice) AS top WHERE n > 15 RETURN c.c_custkey AS k, n, top", "SELECT o_custkey AS k, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1 HAVING count(*) > 15")
 _add("subquery", "MATCH (n:Nation) CALL { WITH n MATCH (n)<-[:IN_NATION]-(c:Customer) RETURN c.c_custkey AS k, c.c_acctbal AS b ORDER BY b DESC, k LIMIT 2 } RETURN n.n_name AS nation, k",
      "SELECT n_name AS nation, c_custkey AS k FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) JOIN nation ON n_nationkey = c_nationkey WHERE r <= 2")
+_add("subquery_aggregate", "MATCH (n:Nation) CALL { WITH n MATCH (n)<-[:IN_NATION]-(s:Supplier) WHERE s.s_acctbal > 9000 RETURN count(s) AS k, sum(s.s_acctbal) AS total, max(s.s_acctbal) AS top } RETURN n.n_name AS nation, k, total, top",
+     "SELECT n_name AS nation, count(s_suppkey) AS k, coalesce(sum(s_acctbal), 0) AS total, max(s_acctbal) AS top FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP BY 1")
 _add("recursive_call", "CALL RECURSIVELY WITH 0 AS x UNTIL (y > 5) { RETURN x + 1 AS x, x AS y } RETURN x, y", "SELECT CAST(7 AS BIGINT) AS x, CAST(6 AS BIGINT) AS y")
 _add("recursive_fan_out", "CALL RECURSIVELY WITH 1 AS max UNTIL (max > 3) { UNWIND range(1, max) AS x RETURN x, max + 1 AS max } RETURN x", "SELECT CAST(x AS BIGINT) AS x FROM (VALUES (1), (2), (3), (1), (2), (3)) t(x)")
 _add("recursive_correlated", "MATCH (r:Region) CALL RECURSIVELY WITH r.r_regionkey AS k UNTIL (k >= 10) { RETURN k + 3 AS k } RETURN r.r_name AS name, k", "SELECT r_name AS name, CAST(r_regionkey + 3 * ceil((10 - r_regionkey) / 3.0) AS BIGINT) AS k FROM region")
