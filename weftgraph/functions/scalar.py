@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,7 +208,7 @@ def _to_integer(a: Val) -> Val:
 
 @register("toString", "(ANY?) :: STRING?", "a value as text", 1)
 def _to_string(a: Val) -> Val:
-    c = F.to_json(a.col) if isinstance(a.type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) else a.col.cast("string")
+    c = F.to_json(a.col) if isinstance(a.type, (T.ArrayType, T.MapType, T.StructType)) else a.col.cast("string")
     return Val(c, STRING)
 
 
@@ -305,8 +306,6 @@ def murmur2(data: bytes) -> int:
 
 @register("kafkaHash", "(STRING or BYTES) :: INTEGER", "the partitioner's hash of a key", 1)
 def _kafka_hash(a: Val) -> Val:
-    import pandas as pd
-
     @F.pandas_udf("long")
     def hashed(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else murmur2(bytes(b))).astype("Int64")
@@ -346,6 +345,8 @@ def _as_map(a: Val) -> Val:
 @register("map.fromPairs", "(LIST) :: MAP", "map from a list of pairs", 1)
 def _from_pairs(a: Val) -> Val:
     e = a.type.elementType
+    if V.is_null(e):
+        return V.struct([])
     if isinstance(e, T.StructType):
         n = e.names
         return Val(F.map_from_arrays(F.transform(a.col, lambda p: p[n[0]]), F.transform(a.col, lambda p: p[n[1]])), T.MapType(STRING, e.fields[1].dataType))
@@ -414,10 +415,23 @@ def _urldecode(s: Val, plus: Val | None = None) -> Val:
     return Val(F.try_url_decode(s.col) if plus is None else F.when(plus.col, F.try_url_decode(s.col)).otherwise(kept), STRING)
 
 
+def _order_of(c: Column) -> Column:
+    """Rank and value of a variant in the total order: texts, truth values, numbers."""
+    truth = F.try_variant_get(c, "$", "boolean")
+    kind = F.schema_of_variant(c)
+    rank = F.when(kind == "STRING", 0).when(kind == "BOOLEAN", 1).otherwise(2)
+    number = F.when(kind == "BOOLEAN", truth.cast("int").cast("double")).when(kind != "STRING", F.try_variant_get(c, "$", "double"))
+    return F.struct(rank.alias("rank"), number.alias("number"), F.when(kind == "STRING", F.try_variant_get(c, "$", "string")).alias("text"))
+
+
 def _extreme(name: str, pick_list: Callable, pick: Callable, null_wins: bool):
     @register(name, "(LIST or ANY, ..) :: ANY", "extreme value by the total order", 1, 15)
     def build(*a: Val) -> Val:
         if len(a) == 1 and isinstance(a[0].type, T.ArrayType):
+            if isinstance(a[0].type.elementType, T.VariantType):
+                best = pick_list(F.transform(a[0].col, _order_of))
+                value = F.when(best["rank"] == 2, best["number"].cast(T.VariantType())).when(best["rank"] == 1, (best["number"] == 1).cast(T.VariantType())).otherwise(best["text"].cast(T.VariantType()))
+                return Val(F.when(best.isNotNull(), value), T.VariantType())
             c = pick_list(a[0].col)
             return Val(F.when(F.exists(a[0].col, lambda x: x.isNull()), F.lit(None)).otherwise(c) if null_wins else c, a[0].type.elementType)
         t = V.common([x.type for x in a]) or STRING

@@ -73,6 +73,8 @@ def common(types: list[T.DataType]) -> T.DataType | None:
             continue
         if is_null(out):
             out = t
+        elif isinstance(out, T.VariantType) or isinstance(t, T.VariantType):
+            out = T.VariantType()
         elif is_num(out) and is_num(t):
             out = LONG if is_int(out) and is_int(t) else DOUBLE
         elif isinstance(out, T.ArrayType) and isinstance(t, T.ArrayType):

@@ -767,10 +767,8 @@ class Compiler:
                 new[n] = v
             else:
                 x = self.ev(e)
-                if V.is_null(x.type):
-                    x = Val(x.col.cast("string"), STRING)
                 name = fresh(n)
-                add[name] = x.col
+                add[name] = x.col.cast("string") if V.is_null(x.type) else x.col
                 new[n] = ValueVar(name, x.type)
         self.df = self.df.withColumns(add)
         if c.distinct:
@@ -854,7 +852,7 @@ class Compiler:
                     node = self.scope.get(x.args[0].name) if x.args and isinstance(x.args[0], A.Var) and x.name.lower() == "count" else None
                     # A node counts by its id; its properties are not read for that.
                     args = [Val(node.col("id"), STRING)] if isinstance(node, NodeVar) else [self.ev(self.prepared(y)) for y in x.args]
-                    v = aggregates.aggregate(x.name, args, x.distinct, x.star)
+                    v = aggregates.aggregate(x.name, args, x.distinct, x.star, all(isinstance(y, (A.Lit, A.Param)) for y in x.args[1:]))
                     aggs[name] = v.col.alias(name)
                     none[name] = F.lit(0) if x.name.lower() in ("count", "sum", "stdev", "stdevp") and not isinstance(v.type, T.DayTimeIntervalType) else F.array().cast(v.type) if x.name.lower() == "collect" else None
                     found[repr(x)] = name
@@ -998,7 +996,7 @@ class Compiler:
 
     def ev_case(self, e: A.Case) -> Val:
         subject = self.ev(e.subject) if e.subject is not None else None
-        tests = [V.equals(subject, self.ev(c)) if subject else self.ev(c).col for c, _ in e.whens]
+        tests = [V.equals(subject, self.ev(c)) if subject else self.ev(c).col.cast("boolean") for c, _ in e.whens]
         outs = [self.ev(v) for _, v in e.whens] + [self.ev(e.default)]
         t = V.common([o.type for o in outs])
         if t is None:
