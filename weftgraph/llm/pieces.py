@@ -74,6 +74,7 @@ class Codec:
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, t in self.pieces if t in (NORMAL, USER))
         self.core = Tokenizer(model_)
         self.known: dict[str, list[int]] = {}
+        self.spelled = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
         strip = [decoders.Strip(" ", 1, 0)] if norm.add_dummy_prefix else []
         self.core.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
 
@@ -104,16 +105,30 @@ class Codec:
         return [list(chain.from_iterable(map(self.known.__getitem__, w))) for w in words]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.core.decode_batch(ids, skip_special_tokens=False)
+        """Texts of ids: the pieces' bytes in a row. What is no UTF-8 goes to the library, which marks the odd bytes."""
+        out = []
+        for x in ids:
+            try:
+                text = b"".join(map(self.spelled.__getitem__, x)).decode("utf-8")
+            except UnicodeDecodeError:
+                text = self.core.decode(x, skip_special_tokens=False)
+            else:
+                text = text[1:] if self.prefix and text.startswith(" ") else text
+            out.append(text)
+        return out
 
     def verify(self, model: bytes, probes: list[str] = PROBES) -> None:
         """Raise if an id differs from the sentencepiece library's."""
         import sentencepiece
 
         whole = sentencepiece.SentencePieceProcessor(model_proto=model)
-        for text, mine, theirs in zip(probes, self.encode(probes), whole.encode(probes, num_threads=1)):
+        ids = self.encode(probes)
+        for text, mine, theirs in zip(probes, ids, whole.encode(probes, num_threads=1)):
             if mine != theirs:
                 raise ValueError(f"ids of {text[:40]!r} differ: {mine[:12]} and {theirs[:12]}")
+        for x, mine, theirs in zip(ids, self.decode(ids), self.core.decode_batch(ids, skip_special_tokens=False)):
+            if mine != theirs:
+                raise ValueError(f"texts of {x[:12]} differ: {mine[:40]!r} and {theirs[:40]!r}")
 
 
 @lru_cache(maxsize=2)
