@@ -448,7 +448,8 @@ class Compiler:
         nodes, rels = p.parts[::2], p.parts[1::2]
         at = next((i for i, n in enumerate(nodes) if n.var and n.var in self.scope), None)
         if at is None:
-            at = next((i for i, n in enumerate(nodes) if n.var not in self.lazy or n.props is not None), 0)
+            free = [i for i, n in enumerate(nodes) if n.var not in self.lazy or n.props is not None] or [0]
+            at = min(free, key=lambda i: (self.growth(nodes, rels, i), i))
         ends = None
         if rels and not nodes[at].labels:
             r, right = (rels[at], True) if at < len(rels) else (rels[at - 1], False)
@@ -471,6 +472,19 @@ class Compiler:
             self.df = self.df.withColumn(name, F.struct(ids.alias("nodes"), parts.alias("relationships")))
             self.scope[p.var] = ValueVar(name, PATH)
 
+    def growth(self, nodes: tuple, rels: tuple, at: int) -> float:
+        """How many steps from this node on can lead to many nodes: those against a foreign key, and those not known."""
+        seen, cost = {nodes[at].var}, -0.5 if nodes[at].props is not None else 0.0
+        for i in [*range(at, len(rels)), *range(at - 1, -1, -1)]:
+            r, (a, b) = rels[i], (nodes[i], nodes[i + 1]) if i >= at else (nodes[i + 1], nodes[i])
+            if b.var is None or b.var not in seen:
+                one = [g[0] for g in label_groups(a.labels) if len(g) == 1 and self.graph.table(g[0])]
+                ways = self.oriented(NodeVar("", one[0] if one else None, {}), r, [g[0] for g in label_groups(b.labels) if len(g) == 1], i < at)
+                e, flipped = ways[0] if len(ways) == 1 and not r.variable else (None, False)
+                cost += 0 if e is not None and e.inline and (e.inline == "dst") == flipped else 1
+            seen.add(b.var)
+        return cost
+
     def oriented(self, a: NodeVar, rel: A.RelPattern, b_labels: list[str], back: bool) -> list[tuple[EdgeTable, bool]]:
         """Edge tables that can lead from a, and whether against their direction."""
         d = rel.direction if not back or rel.direction == "both" else {"out": "in", "in": "out"}[rel.direction]
@@ -523,6 +537,9 @@ class Compiler:
         at_near = e.inline and not inline
         if at_near and a.loaded and far in a.props:
             key = a.col("p·" + far)
+        elif inline and known is not None and known.loaded and known.label == far_label and near in known.props:
+            self.df = self.df.where(known.col("p·" + near) == a.col("key"))
+            return self.ends(a, known, e, flipped) + (F.lit(e.type),)
         elif inline and known is None:
             right, b = self.scan(p.var or "anon", [table])
             if near not in b.props:
