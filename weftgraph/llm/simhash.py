@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm import shingles
 from weftgraph.llm._base import cut, map_texts, table
 from weftgraph.llm._graph import components
 
@@ -40,8 +41,8 @@ def fingerprint(raw: bytes | None, words: int = 3) -> int:
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, n, _PIECE):
         part = w[at : at + _PIECE + words - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-        h = np.fromiter(map(_HASH, shingles), dtype="<u8")
+        each = map(b" ".join, zip(*(part[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
+        h = np.fromiter(map(_HASH, each), dtype="<u8")
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
@@ -64,10 +65,10 @@ def links(distinct: DataFrame, segments: int = 4) -> DataFrame:
     return met.select(F.explode("m").alias("a"), "b").where(F.col("a") != F.col("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
-def groups(prints: DataFrame) -> DataFrame:
-    """(_fp, component_id) for the rows (doc_id, _fp): exact copies are one fingerprint before any pair is formed."""
+def groups(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(_fp, component_id) for the rows (doc_id, _fp), by edges, or else links(): exact copies are one fingerprint before any pair is formed."""
     distinct = cut(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least")))
-    roots = components(links(distinct)).select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
+    roots = components(links(distinct) if edges is None else edges).select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
     rooted = cut(distinct.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp")))
     names = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return rooted.join(names, "_root").select("_fp", "component_id")
@@ -80,10 +81,18 @@ def near_groups(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id (of a repeated id, one row for each fingerprint)."""
-    prints = cut(fingerprints(docs, ["doc_id"], words))
-    named = cut(groups(prints))
+def keep_one(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
+    """docs with one row of each group: the one with the smallest doc_id (of a repeated id, one row for each fingerprint).
+
+    With a similarity the groups join all texts whose sets of shingles have that Jaccard similarity, and the id of a set stands for the fingerprint.
+    """
+    edges = None
+    if similarity is None:
+        prints = cut(fingerprints(docs, ["doc_id"], words))
+    else:
+        prints = cut(shingles.sets(docs, ["doc_id"], words, similarity))
+        edges = shingles.links(prints, similarity)
+    named = cut(groups(prints, edges))
     kept = prints.join(named, "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = cut(kept.groupBy("doc_id").agg(F.count("*").alias("_n")))
     # The same plan at every size: ids are hashed partition by partition, texts are moved once and not sorted.
@@ -91,7 +100,8 @@ def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     if ids.where("_n > 1").limit(1).count():  # an id that stands on several rows
         names = [f"weft·{i}" for i in range(len(docs.columns))]
         at = {c: F.col(f"`{n}`") for c, n in zip(docs.columns, names)}
-        prints = fingerprints(out.toDF(*names).withColumn("text", at["text"]), names, words)
+        again = fingerprints if similarity is None else shingles.sets
+        prints = again(out.toDF(*names).withColumn("text", at["text"]), names, words)
         out = prints.dropDuplicates([names[docs.columns.index("doc_id")], "_fp"]).select(*[F.col(f"`{n}`") for n in names]).toDF(*docs.columns)
     return out
 
