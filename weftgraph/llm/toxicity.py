@@ -1,12 +1,15 @@
 """Toxicity: a weighted finite-state pattern grammar over the clauses of a text.
 
 A lexicon transducer turns tokens into classes (insult, threat, target,
-negation, reporting verb, quote, clause end, other). Three small transducers,
-negation, reported speech and target, each rewrite the classes of insults and
-threats by what stands before them in the clause; composed, they are one
+negation, reporting verb, quote, clause end, other, and two classes of hostile
+words, strong and weak, learned as word beginnings from the class rates over
+all labelled rows of the training fold). Three small transducers,
+negation, reported speech and target, each rewrite the classes of insults,
+threats and learned words by what stands before them in the clause; composed, they are one
 deterministic machine whose output symbols are kinds of matched clauses. How
 many clauses of each kind a text has decides its score; the weights of the
-output symbols are learned from labels.
+output symbols are learned from labels, on rows whose own labels did not choose
+the word beginnings used on them.
 
 Defined cases: null text counts as empty; a text without a match, and so an
 empty text, gets the score of texts without matches; without labels of both
@@ -39,7 +42,11 @@ CLASS = {w: c for c, words in LEXICON.items() for w in words.split()}
 _TRIGGER = {w for w, c in CLASS.items() if c in "IT"}
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n]|[\"“”«»]")
-SYMBOLS = "OITYNRQB"
+SYMBOLS = "OITYNRQBSW"
+#: Classes a negation or a report turns: insult, threat, strong and weak learned words; and the same aimed at someone.
+HOSTILE, AIMED = "ITSW", {"I": "J", "T": "U", "S": "X", "W": "V"}
+#: Word beginnings that are counted, the parts that choose them for each other, and the most that are kept.
+LENGTHS, PARTS, KEPT = (6, 5, 4, 3), 3, 20_000
 
 
 class Machine:
@@ -78,7 +85,7 @@ def _negation(left: int, c: str):
         return 0, c
     if c == "N":
         return 3, c
-    if c in "IT" and left:
+    if c in HOSTILE and left:
         return 0, "n"
     return max(0, left - 1), c
 
@@ -91,7 +98,7 @@ def _report(state: int, c: str):
         return state | 1, c
     if c == "Q":
         return state ^ 2, c
-    return state, "r" if c in "IT" and state else c
+    return state, "r" if c in HOSTILE and state else c
 
 
 def _target(left: int, c: str):
@@ -100,29 +107,85 @@ def _target(left: int, c: str):
         return 0, c
     if c == "Y":
         return 5, c
-    if c in "IT" and left:
-        return left, {"I": "J", "T": "U"}[c]
+    if c in HOSTILE and left:
+        return left, AIMED[c]
     return max(0, left - 1), c
 
 
 GO, OUT = Machine(0, _negation).compose(Machine(0, _report)).compose(Machine(0, _target)).compile(SYMBOLS)
-#: Kinds of clauses: insult, aimed insult, threat, aimed threat, negated, reported.
-KINDS = "IJTUnr"
+#: Kinds of clauses: insult, aimed insult, threat, aimed threat, negated, reported, strong and weak learned words and the same aimed.
+KINDS = "IJTUnrSXWV"
 MOST = 3
 
 
-def events(text: str | None) -> list[int]:
+def beginnings(text: str | None) -> set[str]:
+    return {w[:k] for w in set(_WORD.findall(text.lower())) if w not in CLASS for k in LENGTHS if len(w) >= k} if text else set()
+
+
+def _learned(word: str, learned: dict[str, str]) -> str | None:
+    """The class of the longest learned beginning of the word."""
+    return next((learned[word[:k]] for k in LENGTHS if len(word) >= k and word[:k] in learned), None)
+
+
+def choose(counts: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """S, W or nothing for beginnings standing in (toxic, other) texts, of base texts in all: by rate, where chance is ruled out."""
+    pos, neg = counts[:, 0].astype(float), counts[:, 1].astype(float)
+    if not base.all():
+        return np.full(len(counts), "")
+    n, share = np.maximum(pos + neg, 1), base[0] / base.sum()
+    rate = pos / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * (np.where(pos > 0, pos * np.log(rate / share), 0) + np.where(neg > 0, neg * np.log((1 - rate) / (1 - share)), 0))
+    sure = (rate > share) & (gain > 16)
+    return np.where(sure & (rate >= 0.85), "S", np.where(sure & (rate >= 0.5), "W", ""))
+
+
+def learn(known: DataFrame) -> list[dict[str, str]]:
+    """Beginnings and their classes from all rows of known (_part, _y, text): from every part but each one, and last from all."""
+    base = np.zeros((PARTS, 2), np.int64)
+    for r in known.groupBy("_part", "_y").count().collect():
+        base[r._part, 1 - r._y] = r["count"]
+    if not base.sum(0).all():
+        return [{}] * (PARTS + 1)
+    kinds = [(part, y) for part in range(PARTS) for y in (1, 0)]
+    src = known.select("_part", "_y", "text")
+
+    def run(batches):
+        for batch in batches:
+            total: dict[str, list[int]] = {}
+            for part, y, text in zip(*(c.to_pylist() for c in batch.columns)):
+                at = kinds.index((part, y))
+                for b in beginnings(text):
+                    total.setdefault(b, [0] * len(kinds))[at] += 1
+            cols = list(zip(*total.values())) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["b", *(f"c{i}" for i in range(len(kinds)))])
+
+    names = [f"c{i}" for i in range(len(kinds))]
+    sums = src.mapInArrow(run, "b string, " + ", ".join(f"{c} bigint" for c in names)).groupBy("b").agg(*(F.sum(c).alias(c) for c in names))
+    pos, neg = (sum((F.col(c) for c in names[i::2]), F.lit(0)) for i in (0, 1))
+    top = sums.where((pos >= 3) & (pos >= 0.4 * (pos + neg))).orderBy((pos - neg).desc(), "b").limit(KEPT).collect()
+    counts = np.array([list(r)[1:] for r in top], np.int64).reshape(-1, PARTS, 2)
+    out = []
+    for part in range(PARTS + 1):
+        rest = [i for i in range(PARTS) if i != part]
+        out.append({r.b: str(c) for r, c in zip(top, choose(counts[:, rest].sum(1), base[rest].sum(0))) if c})
+    return out
+
+
+def events(text: str | None, learned: dict[str, str] | None = None) -> list[int]:
     """How many clauses of each kind, up to MOST, the whole text has; a clause counts once per kind."""
     counts = [0] * len(KINDS)
     if not text:
         return counts
     low = text.lower()
-    if _TRIGGER.isdisjoint(_WORD.findall(low)):
+    words = set(_WORD.findall(low))
+    hostile = {w: c for w in words if w not in CLASS and (c := _learned(w, learned))} if learned else {}
+    if not hostile and _TRIGGER.isdisjoint(words):
         return counts
     state, clause, seen = 0, set(), Counter()
     for m in _TOKEN.finditer(low):
         t = m.group()
-        c = CLASS.get(t) or ("B" if t in ".!?;\n" else "Q" if t in "\"“”«»" else "O")
+        c = CLASS.get(t) or hostile.get(t) or ("B" if t in ".!?;\n" else "Q" if t in "\"“”«»" else "O")
         o = OUT[state, c]
         state = GO[state, c]
         if o in KINDS:
@@ -145,7 +208,7 @@ def _design(codes: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: list[tuple[int, int, int]], ridge: float = 0.05) -> np.ndarray:
-    """Weights by ridge logistic regression on (code, label, rows); at most 4**6 codes exist."""
+    """Weights by ridge logistic regression on (code, label, rows); codes are few, as most kinds are rare."""
     w = np.zeros(1 + 2 * len(KINDS))
     if not counts:
         return w
@@ -167,14 +230,23 @@ def fit(counts: list[tuple[int, int, int]], ridge: float = 0.05) -> np.ndarray:
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text); texts are read once."""
+    """doc_id, held_out, score, predicted for every row of docs (doc_id, text)."""
+
+    lab = labels_of(labels, "toxic").where(~held_out("_id", 5, 0))
+    # Texts are moved once, and labelled ones kept; ids are hashed partition by partition.
+    known = docs.where(~held_out("doc_id", 5, 0)).join(lab.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"))
+    known = cut(known.select("_y", F.pmod(F.xxhash64("_id"), F.lit(PARTS)).cast("int").alias("_part"), "text"))
+    *parts, learned = learn(known)
+
+    def fitted(texts: list) -> list[pa.Array]:
+        return [pa.array([[_code(events(t, one)) for one in parts] for t in texts], pa.list_(pa.int32()))]
 
     def run(texts: list) -> list[pa.Array]:
-        return [pa.array([_code(events(t)) for t in texts], pa.int32())]
+        return [pa.array([_code(events(t, learned)) for t in texts], pa.int32())]
 
+    seen = map_texts(known, ["_y", "_part"], "text", "_codes array<int>", fitted).select("_y", F.col("_codes")[F.col("_part")].alias("_code"))
+    w = fit([(r._code, r._y, r.n) for r in seen.groupBy("_code", "_y").agg(F.count("*").alias("n")).orderBy("_code", "_y").collect()])
     x = cut(map_texts(docs, ["doc_id"], "text", "_code int", run).withColumn("held_out", held_out("doc_id", 5, 0)))
-    known = x.where(~F.col("held_out")).join(labels_of(labels, "toxic"), F.col("doc_id") == F.col("_id"))
-    w = fit([(r._code, r._y, r.n) for r in known.groupBy("_code", "_y").agg(F.count("*").alias("n")).orderBy("_code", "_y").collect()])
     # The learned arc weights, as an expression over the clause counts.
     z = F.lit(float(w[0]))
     for i in range(len(KINDS)):
