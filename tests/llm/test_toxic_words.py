@@ -18,3 +18,12 @@ def test_learned_words_pass_the_same_transducers():
     for text, kinds in [("what a zorgling", "S"), ("you zorgling", "X"), ("not zorgling", "n"), ("he said zorg", "r"), ("a blimp", "W"), ("your blimp. zor", "V")]:
         assert toxicity.events(text, learned) == [kinds.count(k) for k in toxicity.KINDS]
     assert not any(toxicity.events("you zorgling"))
+
+
+def test_many_clauses_count_for_more_than_three(spark):
+    assert toxicity.events("you idiot. " * 300)[toxicity.KINDS.index("J")] == 300
+    rows = [(i, "plain words here" if i % 2 else "you idiot. " * (1 + i % 5)) for i in range(200)] + [(1001, "you idiot. " * 3), (1002, "you idiot. " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2 if i % 5 else 0) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    assert got[1002] > got[1001] > got[1]

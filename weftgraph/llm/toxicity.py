@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +116,6 @@ def _target(left: int, c: str):
 GO, OUT = Machine(0, _negation).compose(Machine(0, _report)).compose(Machine(0, _target)).compile(SYMBOLS)
 #: Kinds of clauses: insult, aimed insult, threat, aimed threat, negated, reported, strong and weak learned words and the same aimed.
 KINDS = "IJTUnrSXWV"
-MOST = 3
 
 
 def beginnings(text: str | None) -> set[str]:
@@ -173,7 +173,7 @@ def learn(known: DataFrame) -> list[dict[str, str]]:
 
 
 def events(text: str | None, learned: dict[str, str] | None = None) -> list[int]:
-    """How many clauses of each kind, up to MOST, the whole text has; a clause counts once per kind."""
+    """How many clauses of each kind the whole text has; a clause counts once per kind."""
     counts = [0] * len(KINDS)
     if not text:
         return counts
@@ -194,26 +194,21 @@ def events(text: str | None, learned: dict[str, str] | None = None) -> list[int]
             seen.update(clause)
             clause = set()
     seen.update(clause)
-    return [min(MOST, seen[k]) for k in KINDS]
+    return [seen[k] for k in KINDS]
 
 
-def _code(e: list[int]) -> int:
-    return sum(x * (MOST + 1) ** i for i, x in enumerate(e))
+def _design(steps: np.ndarray) -> np.ndarray:
+    """Intercept, then for each kind whether it occurs and the doublings of its count beyond once, from quarters of log2(1 + count)."""
+    return np.hstack([np.ones((len(steps), 1)), steps > 0, np.maximum(steps / 4 - 1, 0)]).astype(float)
 
 
-def _design(codes: np.ndarray) -> np.ndarray:
-    """Intercept, then for each kind whether it occurs and how often beyond once."""
-    e = codes[:, None] // (MOST + 1) ** np.arange(len(KINDS)) % (MOST + 1)
-    return np.hstack([np.ones((len(codes), 1)), e > 0, np.maximum(e - 1, 0)]).astype(float)
-
-
-def fit(counts: list[tuple[int, int, int]], ridge: float = 0.05) -> np.ndarray:
-    """Weights by ridge logistic regression on (code, label, rows); codes are few, as most kinds are rare."""
+def fit(counts: list[tuple[list[int], int, int]], ridge: float = 0.05) -> np.ndarray:
+    """Weights by ridge logistic regression on (steps of each kind, label, rows); steps of counts keep the table small."""
     w = np.zeros(1 + 2 * len(KINDS))
     if not counts:
         return w
-    c, y, n = (np.array(v, dtype=float) for v in zip(*counts))
-    x = _design(c.astype(int))
+    steps, y, n = (np.array(v, dtype=float) for v in zip(*counts))
+    x = _design(steps)
     pen = np.full(len(w), ridge)
     pen[0] = 1e-6
     if y.min() == y.max():
@@ -234,24 +229,22 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
 
     lab = labels_of(labels, "toxic").where(~held_out("_id", 5, 0))
     # Texts are moved once, and labelled ones kept; ids are hashed partition by partition.
-    known = docs.where(~held_out("doc_id", 5, 0)).join(lab.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"))
+    known = docs.select("doc_id", "text").where(~held_out("doc_id", 5, 0)).join(lab.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"))
     known = cut(known.select("_y", F.pmod(F.xxhash64("_id"), F.lit(PARTS)).cast("int").alias("_part"), "text"))
     *parts, learned = learn(known)
 
-    def fitted(texts: list) -> list[pa.Array]:
-        return [pa.array([[_code(events(t, one)) for one in parts] for t in texts], pa.list_(pa.int32()))]
-
-    def run(texts: list) -> list[pa.Array]:
-        return [pa.array([_code(events(t, learned)) for t in texts], pa.int32())]
+    def counted(rows: DataFrame, keep: list[str], by: dict[str, str]) -> DataFrame:
+        return map_texts(rows, keep, "text", "_counts array<int>", lambda texts: [pa.array([events(t, by) for t in texts], pa.list_(pa.int32()))])
 
-    seen = map_texts(known, ["_y", "_part"], "text", "_codes array<int>", fitted).select("_y", F.col("_codes")[F.col("_part")].alias("_code"))
-    w = fit([(r._code, r._y, r.n) for r in seen.groupBy("_code", "_y").agg(F.count("*").alias("n")).orderBy("_code", "_y").collect()])
-    x = cut(map_texts(docs, ["doc_id"], "text", "_code int", run).withColumn("held_out", held_out("doc_id", 5, 0)))
+    seen = reduce(DataFrame.union, [counted(known.where(F.col("_part") == i), ["_y"], by) for i, by in enumerate(parts)])
+    seen = seen.select("_y", F.transform("_counts", lambda c: F.round(4 * F.log2(1 + c)).cast("int")).alias("_steps"))
+    w = fit([(r._steps, r._y, r.n) for r in seen.groupBy("_steps", "_y").agg(F.count("*").alias("n")).orderBy("_steps", "_y").collect()])
+    x = cut(counted(docs, ["doc_id"], learned).withColumn("held_out", held_out("doc_id", 5, 0)))
     # The learned arc weights, as an expression over the clause counts.
     z = F.lit(float(w[0]))
     for i in range(len(KINDS)):
-        e = F.pmod(F.floor(F.col("_code") / (MOST + 1) ** i), F.lit(MOST + 1))
-        z = z + F.when(e > 0, float(w[1 + i])).otherwise(0.0) + float(w[1 + len(KINDS) + i]) * F.greatest(e - 1, F.lit(0))
+        e = F.col("_counts")[i]
+        z = z + F.when(e > 0, float(w[1 + i])).otherwise(0.0) + float(w[1 + len(KINDS) + i]) * F.greatest(F.log2(1 + e) - 1, F.lit(0.0))
     s = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
     return x.select("doc_id", "held_out", s.alias("score"), (s >= threshold).cast("int").alias("predicted"))
 
