@@ -1,12 +1,12 @@
-"""SimHash near-dedup by multi-index hashing.
+"""SimHash near-dedup by a table of one-bit neighbours.
 
 A 64-bit fingerprint holds one vote of every word shingle per bit. For a reach
-of two bits each fingerprint enumerates, segment by segment, the Hamming ball
-of radius one inside that segment with the other segments unchanged, and looks
-the results up in a table of all such balls. Two fingerprints within two bits
-always share an entry (half of the differing bits from each side), whichever
-segments the bits lie in, and an entry holds at most 65 distinct fingerprints,
-so no bucket can grow with a group of copies. Complete distances are verified.
+of two bits each fingerprint and its 64 neighbours at one bit are keys of one
+table. This stands in for multi-index hashing: two fingerprints within two bits
+always share a key (half of the differing bits from each side), a key holds at
+most 65 distinct fingerprints, so no bucket can grow with a group of copies,
+and no value of a segment can be hot. It cannot serve a wider reach; near copies
+by similarity are found in shingles.py.
 
 Defined cases: null text counts as empty; an empty text has fingerprint zero
 and links like any other; repeated rows link with each other; a null doc_id
