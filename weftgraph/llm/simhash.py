@@ -15,6 +15,7 @@ takes part, but is never a component's name unless all its members lack one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -65,11 +66,12 @@ def links(distinct: DataFrame, segments: int = 4) -> DataFrame:
     return met.select(F.explode("m").alias("a"), "b").where(F.col("a") != F.col("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
-def groups(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """(_fp, component_id) for the rows (doc_id, _fp), by edges, or else links(): exact copies are one fingerprint before any pair is formed."""
-    distinct = cut(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least")))
-    roots = components(links(distinct) if edges is None else edges).select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
-    rooted = cut(distinct.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp")))
+def groups(prints: DataFrame, edges: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(_fp, component_id) for the rows (doc_id, _fp, ...), by edges, or else links(): exact copies are one fingerprint before any pair is formed."""
+    more = [c for c in prints.columns if c not in ("doc_id", "_fp")]
+    distinct = cut(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least"), *(F.first(c).alias(c) for c in more)))
+    roots = components((edges or links)(distinct)).select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
+    rooted = cut(distinct.select("_fp", "_least").join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp")))
     names = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return rooted.join(names, "_root").select("_fp", "component_id")
 
@@ -86,14 +88,14 @@ def keep_one(docs: DataFrame, words: int = 3, similarity: float | None = None) -
 
     With a similarity the groups join all texts whose sets of shingles have that Jaccard similarity, and the id of a set stands for the fingerprint.
     """
-    edges = None
+    texts = docs.select("doc_id", "text")
     if similarity is None:
-        prints = cut(fingerprints(docs, ["doc_id"], words))
+        prints = cut(fingerprints(texts, ["doc_id"], words))
+        named = cut(groups(prints))
     else:
-        prints = cut(shingles.sets(docs, ["doc_id"], words, similarity))
-        edges = shingles.links(prints, similarity)
-    named = cut(groups(prints, edges))
-    kept = prints.join(named, "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        prints = cut(shingles.sets(texts, ["doc_id"], words, similarity))
+        named = cut(groups(prints, lambda distinct: shingles.links(distinct, texts, words, similarity)))
+    kept = prints.select("doc_id", "_fp").join(named, "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = cut(kept.groupBy("doc_id").agg(F.count("*").alias("_n")))
     # The same plan at every size: ids are hashed partition by partition, texts are moved once and not sorted.
     out = docs.join(ids.select(F.col("doc_id").alias("weft·kept")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("`weft·kept`")), "left_semi")
