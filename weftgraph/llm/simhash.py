@@ -1,12 +1,17 @@
-"""SimHash near-dedup by a table of one-bit neighbours.
+"""SimHash near-dedup by multi-index hashing.
 
-A 64-bit fingerprint holds one vote of every word shingle per bit. For a reach
-of two bits each fingerprint and its 64 neighbours at one bit are keys of one
-table. This stands in for multi-index hashing: two fingerprints within two bits
-always share a key (half of the differing bits from each side), a key holds at
-most 65 distinct fingerprints, so no bucket can grow with a group of copies,
-and no value of a segment can be hot. It cannot serve a wider reach; near copies
-by similarity are found in shingles.py.
+A 64-bit fingerprint holds one vote of every word shingle per bit. Fingerprints
+are cut into segments. Two of them within a reach of k bits differ by at most
+k // segments bits in one segment, so each fingerprint stands in a table of
+every segment under its value there, looks up the small Hamming ball around
+that value, and meets its candidates, whose whole distance is verified.
+
+A value that too many fingerprints have is a hot bucket: its rows are keyed
+again by that value together with a segment of the remaining bits, cut into
+k + 1 parts, one of which a pair within reach has in common exactly; and so on
+until no bucket is large (k + 1 bits or fewer left over hold few fingerprints by
+themselves). No link is lost to it and no bucket's pairs grow with the square of
+a group of copies.
 
 Defined cases: null text counts as empty; an empty text has fingerprint zero
 and links like any other; repeated rows link with each other; a null doc_id
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -57,13 +63,52 @@ def fingerprints(docs: DataFrame, keep: list[str], words: int = 3) -> DataFrame:
     return map_texts(docs, keep, "text", "_fp bigint", run, as_bytes=True)
 
 
-def links(distinct: DataFrame, segments: int = 4) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints `_fp` that join all within two bits of each other."""
-    width = 64 // segments
-    balls = [F.array("_fp")] + [F.transform(F.sequence(F.lit(s * width), F.lit(s * width + width - 1)), lambda i: F.col("_fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))) for s in range(segments)]
-    entries = distinct.select("_fp", F.explode(F.concat(*balls)).alias("key"))
-    met = entries.groupBy("key").agg(F.min("_fp").alias("b"), F.collect_list("_fp").alias("m")).where(F.size("m") > 1)
-    return met.select(F.explode("m").alias("a"), "b").where(F.col("a") != F.col("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
+def cuts(bits: list[int], parts: int) -> list[list[int]]:
+    """Positions of bits dealt into as many runs of nearly equal length."""
+    parts = min(parts, len(bits))
+    at = [len(bits) * i // parts for i in range(parts + 1)]
+    return [bits[a:b] for a, b in zip(at, at[1:])]
+
+
+def _mask(bits: list[int]) -> int:
+    """The bits as a signed long."""
+    m = sum(1 << b for b in bits)
+    return m - (1 << 64) if m >> 63 else m
+
+
+def keys(segments: int, reach: int) -> list[tuple[list[int], list[int]]]:
+    """For each segment its bits, and the flips (as masks) of the ball that is looked up around a value."""
+    return [(bits, [_mask(list(c)) for d in range(reach // segments + 1) for c in combinations(bits, d)]) for bits in cuts(list(range(64)), segments)]
+
+
+def links(distinct: DataFrame, segments: int = 3, reach: int = 2, bucket: int = 64) -> DataFrame:
+    """Edges (a, b), a < b, between the distinct fingerprints `_fp` within reach of each other."""
+    plan = {(i,): bits for i, (bits, _) in enumerate(keys(segments, reach))}
+    row = lambda i, flip, asks: F.struct(F.lit(str(i)).alias("path"), F.col("_fp").bitwiseXOR(F.lit(flip)).bitwiseAND(F.lit(_mask(plan[i,]))).alias("v"), F.lit(asks).alias("asks"))
+    rows = [row(i, f, True) for i, (_, ball) in enumerate(keys(segments, reach)) for f in ball] + [row(i, 0, False) for i in range(segments)]
+    # One row asks and one stands in the table, dealt out evenly before they multiply.
+    entries = distinct.select("_fp").repartition("_fp").select("_fp", F.inline(F.array(*rows)))
+    found = None
+    while True:
+        asks, held = entries.where("asks").select("path", "v", F.col("_fp").alias("a")), entries.where("not asks").select("path", "v", F.col("_fp").alias("b"))
+        full = cut(held.groupBy("path", "v").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("path", "v"))
+        final = [p for p, bits in plan.items() if 64 - len(bits) <= reach + 1]
+        wide = full.where(~F.col("path").isin(["-".join(map(str, p)) for p in final])) if final else full
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach
+        pairs = asks.join(wide, ["path", "v"], "left_anti").join(held, ["path", "v"]).where((F.col("a") != F.col("b")) & near)
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = pairs if found is None else found.unionByName(pairs)
+        hot = {tuple(map(int, r.path.split("-"))) for r in wide.select("path").distinct().collect()}  # a few paths, however many buckets
+        if not hot:
+            return found.distinct()
+        next_plan, again = {}, []
+        for p in sorted(hot):
+            for j, bits in enumerate(cuts([b for b in range(64) if b not in plan[p]], reach + 1)):
+                next_plan[p + (j,)] = plan[p] + bits
+                again.append(F.struct(F.lit("-".join(map(str, p))).alias("was"), F.lit("-".join(map(str, p + (j,)))).alias("to"), F.lit(_mask(bits)).alias("mask")))
+        deeper = entries.join(wide, ["path", "v"], "left_semi").withColumn("s", F.explode(F.array(*again))).where("s.was = path")
+        entries = cut(deeper.select("_fp", F.col("s.to").alias("path"), F.col("v").bitwiseOR(F.col("_fp").bitwiseAND(F.col("s.mask"))).alias("v"), "asks"))
+        plan = next_plan
 
 
 def groups(prints: DataFrame, edges: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
