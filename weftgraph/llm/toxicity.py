@@ -15,7 +15,8 @@ Defined cases: null text counts as empty; a text without a match, and so an
 empty text, gets the score of texts without matches; without labels of both
 classes the score is the share of toxic labels (0.5 without any); a null doc_id
 is scored, reported as held out and never learned from; ids labelled both ways
-are not learned from; repeated rows are scored each.
+are not learned from; repeated rows are scored each; a curly apostrophe counts
+as a straight one.
 """
 
 from __future__ import annotations
@@ -40,9 +41,12 @@ LEXICON = {
     "R": "said says say called calls claimed claims wrote writes quoted shouted sagte sagt nannte schrieb dit disait appelle écrit dijo dice llamó escribió",
 }
 CLASS = {w: c for c, words in LEXICON.items() for w in words.split()}
-_TRIGGER = {w for w, c in CLASS.items() if c in "IT"}
 _WORD = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n]|[\"“”«»]")
+_QUOTES = "\"“”«»"
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]")
+_CLAUSE = re.compile(r"[.!?;\n]")
+#: Words whose class a task keeps; bounds its memory.
+_KNOWN = 1 << 18
 SYMBOLS = "OITYNRQBSW"
 #: Classes a negation or a report turns: insult, threat, strong and weak learned words; and the same aimed at someone.
 HOSTILE, AIMED = "ITSW", {"I": "J", "T": "U", "S": "X", "W": "V"}
@@ -122,9 +126,22 @@ def beginnings(text: str | None) -> set[str]:
     return {w[:k] for w in set(_WORD.findall(text.lower())) if w not in CLASS for k in LENGTHS if len(w) >= k} if text else set()
 
 
-def _learned(word: str, learned: dict[str, str]) -> str | None:
-    """The class of the longest learned beginning of the word."""
-    return next((learned[word[:k]] for k in LENGTHS if len(word) >= k and word[:k] in learned), None)
+class Arcs(dict):
+    """The lexicon transducer's class of each word met lately: fixed words first, else the longest learned beginning."""
+
+    def __init__(self, learned: dict[str, str] | None = None):
+        super().__init__()
+        self.learned = learned or {}
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= _KNOWN:
+            self.clear()
+        c = CLASS.get(word) or next((self.learned[word[:k]] for k in LENGTHS if len(word) >= k and word[:k] in self.learned), "O")
+        self[word] = c
+        return c
+
+    def __reduce__(self):
+        return Arcs, (self.learned,)
 
 
 def choose(counts: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -172,28 +189,29 @@ def learn(known: DataFrame) -> list[dict[str, str]]:
     return out
 
 
-def events(text: str | None, learned: dict[str, str] | None = None) -> list[int]:
-    """How many clauses of each kind the whole text has; a clause counts once per kind."""
+def events(text: str | None, arcs: Arcs | dict[str, str] | None = None) -> list[int]:
+    """How many clauses of each kind the whole text has; a clause counts once per kind.
+
+    The machine is in its start state at every clause's start, so that clauses without a hostile word need no walk.
+    """
     counts = [0] * len(KINDS)
     if not text:
         return counts
-    low = text.lower()
-    words = set(_WORD.findall(low))
-    hostile = {w: c for w in words if w not in CLASS and (c := _learned(w, learned))} if learned else {}
-    if not hostile and _TRIGGER.isdisjoint(words):
+    arcs = arcs if isinstance(arcs, Arcs) else Arcs(arcs)
+    low = text.lower().replace("’", "'")
+    hostile = [w for w in set(_WORD.findall(low)) if arcs[w] in HOSTILE]
+    if not hostile:
         return counts
-    state, clause, seen = 0, set(), Counter()
-    for m in _TOKEN.finditer(low):
-        t = m.group()
-        c = CLASS.get(t) or hostile.get(t) or ("B" if t in ".!?;\n" else "Q" if t in "\"“”«»" else "O")
-        o = OUT[state, c]
-        state = GO[state, c]
-        if o in KINDS:
-            clause.add(o)
-        elif o == "B":
-            seen.update(clause)
-            clause = set()
-    seen.update(clause)
+    seen = Counter()
+    for clause in _CLAUSE.split(low):
+        if not any(w in clause for w in hostile):
+            continue
+        state, found = 0, set()
+        for t in _TOKEN.findall(clause):
+            c = "Q" if t in _QUOTES else arcs[t]
+            found.add(OUT[state, c])
+            state = GO[state, c]
+        seen.update(found)
     return [seen[k] for k in KINDS]
 
 
@@ -234,7 +252,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
     *parts, learned = learn(known)
 
     def counted(rows: DataFrame, keep: list[str], by: dict[str, str]) -> DataFrame:
-        return map_texts(rows, keep, "text", "_counts array<int>", lambda texts: [pa.array([events(t, by) for t in texts], pa.list_(pa.int32()))])
+        arcs = Arcs(by)
+        return map_texts(rows, keep, "text", "_counts array<int>", lambda texts: [pa.array([events(t, arcs) for t in texts], pa.list_(pa.int32()))])
 
     seen = reduce(DataFrame.union, [counted(known.where(F.col("_part") == i), ["_y"], by) for i, by in enumerate(parts)])
     seen = seen.select("_y", F.transform("_counts", lambda c: F.round(4 * F.log2(1 + c)).cast("int")).alias("_steps"))
