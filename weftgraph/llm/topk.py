@@ -61,7 +61,7 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _best(qi: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k best of each query, ties to the smaller id."""
-    order = np.lexsort((ids, -score.astype(np.float64), qi)) if len(score) and abs(score).max() < 2**53 else np.array(sorted(range(len(qi)), key=lambda i: (qi[i], -int(score[i]), ids[i])), dtype=int)
+    order = np.lexsort((ids, -score.astype(np.float64), qi)) if len(score) and np.abs(score.astype(np.float64)).max() < 2**53 else np.array(sorted(range(len(qi)), key=lambda i: (qi[i], -int(score[i]), ids[i])), dtype=int)
     q = qi[order]
     first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, dtype=bool)
     start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
@@ -85,7 +85,9 @@ def search_bucket(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, c: np.ndarr
         out.append((rows[i[best]], ids[j[best]], p[i, j][best]))
 
     live = local <= 1 + 1e-9
+    # Queries of like thresholds share a prefix of the lengths.
     by_length = np.flatnonzero(live & (local < HIGH))
+    by_length = by_length[np.argsort(-least[by_length], kind="stable")]
     for at in range(0, len(by_length), 256):
         rows = by_length[at : at + 256]
         prefix = int(np.searchsorted(-lc, -(least[rows].min() * (1 - 1e-9)), side="right"))
@@ -111,9 +113,11 @@ def search_bucket(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, c: np.ndarr
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, query_rows: int = 2048, bucket_rows: int = 4096) -> DataFrame:
     """vectors (vec_id, z: integer-valued array<double>) to query_id, rank, vec_id, score."""
-    v = vectors.where("vec_id is not null").withColumn("dim", F.size("z")).withColumn("norm", F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)))
-    v = v.withColumn("band", F.when(F.col("norm") > 0, F.floor(F.log("norm") / math.log(BAND))).otherwise(-(10**6)).cast("int"))
-    v = cut(v.withColumn("q", F.coalesce(is_query, F.lit(False))))
+    v = vectors.where("vec_id is not null").withColumn("dim", F.size("z")).withColumn("_big", F.coalesce(F.array_max(F.transform("z", lambda x: F.abs(x))), F.lit(0.0)))
+    # Divided by the largest component first, so that no square overflows; the length itself may be infinite, its band is not.
+    v = v.withColumn("_rest", F.when(F.col("_big") > 0, F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + (x / F.col("_big")) * (x / F.col("_big"))))).otherwise(0.0))
+    v = v.withColumn("norm", F.col("_big") * F.col("_rest")).withColumn("band", F.when(F.col("_big") > 0, F.floor((F.log("_big") + F.log("_rest")) / math.log(BAND))).otherwise(-(10**6)).cast("int"))
+    v = cut(v.withColumn("q", F.coalesce(is_query, F.lit(False))).drop("_big", "_rest"))
     # Bands times dimensions: a few hundred rows, since lengths are doubles.
     bands = v.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).orderBy("dim", "band").collect()
     queries = v.where("q").select("vec_id", "z", "dim", "norm")
@@ -148,7 +152,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, query_rows: int = 20
     reach = F.filter(table_of, lambda r: (r["dim"] == F.col("dim")) & (r["longest"] * F.col("norm") * (1 + 1e-9) >= F.col("floor")))
     asked = queries.withColumn("r", F.explode(reach)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("r.chunks") - 1))).select("g", "dim", F.col("r.band").alias("band"), "chunk", "vec_id", "z", "qk", "floor")
     chunks = F.element_at(F.map_from_arrays(F.transform(table_of, lambda r: F.struct(r["dim"], r["band"])), F.transform(table_of, lambda r: r["chunks"])), F.struct(F.col("dim"), F.col("band")))
-    held = v.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), "dim", "band", F.pmod(F.xxhash64("vec_id", "z"), chunks).cast("int").alias("chunk"), "vec_id", "z", F.lit(None).cast("long").alias("qk"), F.lit(None).cast("double").alias("floor"))
+    asked = cut(asked)
+    # A candidate goes only to the blocks of queries that can still reach its band.
+    wanted = asked.groupBy("dim", "band", "chunk").agg(F.collect_set("g").alias("gs"))
+    held = v.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "z"), chunks).cast("int")).join(wanted, ["dim", "band", "chunk"])
+    held = held.select(F.explode("gs").alias("g"), "dim", "band", "chunk", "vec_id", "z", F.lit(None).cast("long").alias("qk"), F.lit(None).cast("double").alias("floor"))
 
     def bucket(t: pa.Table) -> pa.Table:
         dim = t["dim"][0].as_py()
@@ -164,7 +172,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, query_rows: int = 20
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where(valid(F.col("embedding")))
-    z = F.transform(F.col("embedding").cast("array<double>"), lambda x: _floor(x * 256.0))
+    # 256 times the largest doubles stays the largest double: finite components take part, whatever their size.
+    most = F.lit(np.finfo(np.float64).max)
+    z = F.transform(F.col("embedding").cast("array<double>"), lambda x: _floor(F.greatest(F.least(x * 256.0, most), -most)))
     return top_k(e.select(F.col("vec_id").cast("long").alias("vec_id"), z.alias("z")), F.pmod("vec_id", F.lit(50)) == 0)
 
 
