@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -227,24 +228,51 @@ def model(seed: int = 5, examples: int = 3000, precision: float = 0.99) -> tuple
     return trees, line, least
 
 
-def all_spans(text: str, fitted) -> tuple[list, list]:
-    """Base spans, and these with the added ones, each by kind and start."""
-    base = base_spans(text)
-    some = candidates(text)
-    if not some:
-        return base, base
+def _merged(spans: list) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of the spans, ascending."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _meets(starts: list[int], ends: list[int], a: int, b: int) -> int:
+    """Where the span (a, b) would stand among disjoint ascending spans, or -1 if it overlaps one."""
+    i = bisect_left(starts, b)
+    return -1 if i and ends[i - 1] > a else i
+
+
+def spans_of(texts: list[str], fitted) -> list[tuple[list, list]]:
+    """For each text its base spans, and these with the added ones, by kind and start; the trees score all candidates in one call."""
     trees, line, least = fitted
-    taken = [(a, b) for _, a, b in base]
-    free = [c for c in some if not any(c[1] < b and a < c[2] for a, b in taken)]
-    if not free:
-        return base, base
-    p = sigmoid(line[0] * trees.score(np.array([describe(text, c) for c in free])) + line[1])
-    added = []
-    for i in sorted(range(len(free)), key=lambda i: (-p[i], free[i])):
-        k, a, b = free[i]
-        if p[i] >= least[k] and not any(a < d and c < b for _, c, d in added):
-            added.append(free[i])
-    return base, sorted(base + added)
+    bases = [base_spans(t) for t in texts]
+    free = []
+    for t, base in zip(texts, bases):
+        some = candidates(t)
+        taken = _merged(base) if some else None
+        free.append([c for c in some if _meets(*taken, c[1], c[2]) >= 0])
+    rows = [describe(t, c) for t, some in zip(texts, free) for c in some]
+    p = sigmoid(line[0] * trees.score(np.array(rows)) + line[1]) if rows else np.zeros(0)
+    out, at = [], 0
+    for base, some in zip(bases, free):
+        q, at = p[at : at + len(some)], at + len(some)
+        starts, ends, added = [], [], []
+        for i in sorted(range(len(some)), key=lambda i: (-q[i], some[i])):
+            k, a, b = some[i]
+            if q[i] >= least[k] and (place := _meets(starts, ends, a, b)) >= 0:
+                starts.insert(place, a)
+                ends.insert(place, b)
+                added.append(some[i])
+        out.append((base, sorted(base + added) if added else base))
+    return out
+
+
+def all_spans(text: str, fitted) -> tuple[list, list]:
+    return spans_of([text], fitted)[0]
 
 
 def _join(spans: list) -> str:
@@ -256,7 +284,7 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     fitted = model()
 
     def run(texts: list) -> list[pa.Array]:
-        found = [all_spans(t or "", fitted) for t in texts]
+        found = spans_of([t or "" for t in texts], fitted)
         counts = [[sum(s[0] == k for s in base) for base, _ in found] for k in range(len(KINDS))]
         return [
             *(pa.array(c, pa.int64()) for c in counts),
@@ -267,11 +295,11 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     return map_texts(docs, keep, "text", "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string", run)
 
 
-def _redacted(text: str | None, fitted) -> str | None:
+def _redacted(text: str | None, fitted, spans: list | None = None) -> str | None:
     if not text:
         return text
     out, at = [], 0
-    for k, a, b in sorted(all_spans(text, fitted)[1], key=lambda s: (s[1], -s[2])):
+    for k, a, b in sorted(all_spans(text, fitted)[1] if spans is None else spans, key=lambda s: (s[1], -s[2])):
         if b > at:
             out += [text[at : max(a, at)], f"[{KINDS[k].upper()}]" if a >= at else ""]
             at = b
@@ -283,7 +311,8 @@ def redact(docs: DataFrame) -> DataFrame:
     fitted = model()
 
     def run(texts: list) -> list[pa.Array]:
-        return [pa.array([_redacted(t, fitted) for t in texts], pa.string())]
+        found = spans_of([t or "" for t in texts], fitted)
+        return [pa.array([_redacted(t, fitted, spans) for t, (_, spans) in zip(texts, found)], pa.string())]
 
     columns = docs.columns
     out = map_texts(docs, columns, "text", "`weft·clean` string", run)
