@@ -78,17 +78,17 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
 
 
-def mix(sized: DataFrame, seed: int = 17, block: int = 64, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def mix(sized: DataFrame, seed: int = 17, block: int = 1, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """sized (doc_id, source, size) with source_size, target and taken.
 
-    `block` words are a block; in a small corpus a thousandth of a source's mean
-    size, so that whole blocks still come near the targets.
+    `block` words are a block at every size of the corpus; a source's taken words
+    differ from its target by less than a block for each of its shards, and with
+    blocks of one word by less than a word.
     """
     sized = cut(sized.select("doc_id", "source", "size"))
     # First by part of a source, so that a source with a third of all rows is summed in many tasks.
     by_source = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most).withColumn("shards", F.ceil(F.sqrt("rows")).cast("long")))
-    n = F.count("*").over(W.partitionBy(F.lit(0)))
-    by_source = by_source.withColumn("block", F.greatest(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), F.floor(F.col("_total") / (1000 * n)))))
+    by_source = by_source.withColumn("block", F.lit(block).cast("long"))
     by_source = by_source.withColumn("blocks", F.floor(F.col("_total") / F.col("block"))).withColumn("cap", F.ceil(most * F.col("source_size") / F.col("block")))
     quotas = cut(apportion(by_source, [], "src", "target", "blocks", "cap").withColumnRenamed("quota", "source_quota"))
 
