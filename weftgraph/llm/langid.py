@@ -113,14 +113,20 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, letters)], np.where(letters, p, 0.0)
 
 
-def fit(train: DataFrame, sample: int = 20000, smooth: float = 0.1) -> Model:
-    """train (doc_id, text, lang). About `sample` rows, drawn by a hash of the id, are learned from, each as a whole.
+def fit(train: DataFrame, sample: int = 20000, smooth: float = 0.1, most: int = 1000) -> Model:
+    """train (doc_id, text, lang). About `sample` rows, drawn by a hash of the id, the same number of each language
+    (all of a language with fewer), are learned from, each as a whole; priors are of all rows.
 
-    What reaches the driver is one count per language and bucket.
+    What reaches the driver is one count per language and bucket; more than `most` languages are an error, since the
+    matrix of their log probabilities goes to every task.
     """
-    n = train.select("doc_id").count()
-    if n > sample:
-        train = train.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(10)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    rows = {r.lang: r["count"] for r in train.groupBy(F.col("lang").cast("string").alias("lang")).count().limit(most + 1).collect()}
+    if len(rows) > most:
+        raise ValueError(f"more than {most} languages: their matrix would be over {most * (1 << BITS) * 4 >> 20} MB")
+    if rows:
+        each = F.create_map(*[x for lang, n in rows.items() for x in (F.lit(lang), F.lit(min(1.0, sample / len(rows) / n)))])
+        draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(10)), F.lit(1 << 30))
+        train = train.where(draw < F.lit(1 << 30) * F.element_at(each, F.col("lang").cast("string")))
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -145,9 +151,8 @@ def fit(train: DataFrame, sample: int = 20000, smooth: float = 0.1) -> Model:
     lang, i, k = (sums.column(c).to_numpy() for c in ("lang", "i", "n"))
     langs = sorted(set(lang.tolist()))
     row = np.array([langs.index(x) for x in lang], dtype=int) if langs else np.zeros(0, dtype=int)
-    counts, docs = np.zeros((len(langs), 1 << BITS)), np.ones(len(langs))
+    counts, docs = np.zeros((len(langs), 1 << BITS)), np.array([float(rows[x]) for x in langs])
     counts[row[i >= 0], i[i >= 0]] = k[i >= 0]
-    docs[row[i < 0]] = k[i < 0]
     return Model(langs, counts, docs, smooth)
 
 
