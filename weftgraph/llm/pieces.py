@@ -33,6 +33,8 @@ from weftgraph.llm._base import map_texts, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Stands around the numbers of pieces that no text may match: private and non-characters in a row.
+_HIDDEN = "\uf8ff\U0010fffe\ue000\U0010ffff"
 #: Texts on which a task compares both libraries.
 PROBES = ["", " ", "a", "Hello world", "  two  spaces ", "tab\tline\n\n", "über naïve ça ñ", "▁x", "日本語 🙂 \u0000", "<s> </s> <0x0A> <unk>", " " * 37 + "x", "http://a.b/c?d=1&e=%20", "A" * 300, "1234567890 12.5e-3", "The quick brown fox; 'jumps' over \"it\"."]
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -58,7 +60,7 @@ class Codec:
         if kind == BPE:
             model_ = models.BPE(vocab={p[0]: i for i, p in enumerate(self.pieces)}, merges=self._merges(), unk_token=self.pieces[unknown][0], fuse_unk=True, byte_fallback=fallback)
         elif kind == UNIGRAM:
-            model_ = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=unknown, byte_fallback=fallback)
+            model_ = models.Unigram(self._surfaces(), unk_id=unknown, byte_fallback=False)
         else:
             raise ValueError(f"model type {kind} has no counterpart")
         steps = [normalizers.Precompiled(norm.precompiled_charsmap)] if norm.precompiled_charsmap else []
@@ -72,11 +74,16 @@ class Codec:
         self.prefix = MARK if norm.add_dummy_prefix else ""
         # A piece with the marker inside would be cut apart at words' starts.
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, t in self.pieces if t in (NORMAL, USER))
+        # A unigram's unknown runs are spelled out here, since its byte pieces are no surfaces to match.
+        self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE} if kind == UNIGRAM and fallback else {}
+        self.unknown = unknown
         self.core = Tokenizer(model_)
         self.known: dict[str, list[int]] = {}
         self.spelled = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
         strip = [decoders.Strip(" ", 1, 0)] if norm.add_dummy_prefix else []
-        self.core.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+        # Decoding goes by the pieces' own names.
+        self.back = Tokenizer(models.BPE(vocab={p[0]: i for i, p in enumerate(self.pieces)}, merges=[])) if kind == UNIGRAM else self.core
+        self.back.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
 
     def _merges(self) -> list[tuple[str, str]]:
         """Each split of a piece into two pieces, best score first, as the scores rank the merged piece."""
@@ -84,6 +91,31 @@ class Codec:
         found = [(*score[p], score[a][1], score[b][1], a, b) for p in score for k in range(1, len(p)) if (a := p[:k]) in score and (b := p[k:]) in score]
         return [(a, b) for *_, a, b in sorted(found)]
 
+    def _surfaces(self) -> list[tuple[str, float]]:
+        """Surfaces and scores of a unigram's pieces: only normal and user-defined ones can be matched in a text.
+
+        A user-defined piece scores its bytes times the best score, which counts as a tenth at least, less a tenth.
+        Others keep their ids under a surface that no text holds, with a score that leaves the least one as it is.
+        """
+        best = max((s for _, s, t in self.pieces if t == NORMAL), default=0.0)
+        out = []
+        for i, (p, s, t) in enumerate(self.pieces):
+            out.append((p, s) if t == NORMAL else (p, len(p.encode()) * max(best, 0.1) - 0.1) if t == USER else (f"{_HIDDEN}{i}{_HIDDEN}", best))
+        return out
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of normalised texts; runs of unknown characters as bytes where the model has them."""
+        if not self.bytes:
+            return [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for text, e in zip(texts, self.core.encode_batch(texts, add_special_tokens=False)):
+            ids = e.ids
+            if self.unknown in ids:
+                spans = zip(ids, e.offsets)
+                ids = list(chain.from_iterable([self.bytes[x] for x in text[a:b].encode()] if i == self.unknown else (i,) for i, (a, b) in spans))
+            out.append(ids)
+        return out
+
     def normalize(self, text: str | None) -> str:
         if not text:
             return ""
@@ -92,7 +124,7 @@ class Codec:
     def encode(self, texts: list) -> list[list[int]]:
         if self.apart:
             return self._encode_words(texts)
-        return [e.ids for e in self.core.encode_batch_fast([self.normalize(t) for t in texts], add_special_tokens=False)]
+        return self._ids([self.normalize(t) for t in texts])
 
     def _encode_words(self, texts: list) -> list[list[int]]:
         """Each word not met lately is encoded once, all of a batch's in one call; a text's ids are its words' in a row."""
@@ -101,7 +133,7 @@ class Codec:
         if len(self.known) + len(new) > _KNOWN:
             self.known.clear()
             new = list(set().union(*words))
-        self.known.update(zip(new, (e.ids for e in self.core.encode_batch_fast(new, add_special_tokens=False))))
+        self.known.update(zip(new, self._ids(new)))
         return [list(chain.from_iterable(map(self.known.__getitem__, w))) for w in words]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -111,7 +143,7 @@ class Codec:
             try:
                 text = b"".join(map(self.spelled.__getitem__, x)).decode("utf-8")
             except UnicodeDecodeError:
-                text = self.core.decode(x, skip_special_tokens=False)
+                text = self.back.decode(x, skip_special_tokens=False)
             else:
                 text = text[1:] if self.prefix and text.startswith(" ") else text
             out.append(text)
@@ -126,7 +158,7 @@ class Codec:
         for text, mine, theirs in zip(probes, ids, whole.encode(probes, num_threads=1)):
             if mine != theirs:
                 raise ValueError(f"ids of {text[:40]!r} differ: {mine[:12]} and {theirs[:12]}")
-        for x, mine, theirs in zip(ids, self.decode(ids), self.core.decode_batch(ids, skip_special_tokens=False)):
+        for x, mine, theirs in zip(ids, self.decode(ids), self.back.decode_batch(ids, skip_special_tokens=False)):
             if mine != theirs:
                 raise ValueError(f"texts of {x[:12]} differ: {mine[:40]!r} and {theirs[:40]!r}")
 
