@@ -41,6 +41,57 @@ def test_any_order_of_arrival_ends_in_the_same_matches(spark, tmp_path, seed):
     assert {tuple(r) for r in q.matches().collect()} == want == {tuple(r)[:2] for r in q.evaluate().collect()}
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "MATCH (u:U) WHERE NOT (u)-[:DID]->({kind: 'a'}) RETURN id(u) AS u",
+        "MATCH (u:U)-[:DID]->(x) WHERE NOT (x)-[:DID]->({kind: 'b'}) AND x.kind = 'a' RETURN id(u) AS u, id(x) AS x",
+        "MATCH (u:U) RETURN id(u) AS u, size([(u)-[:DID]->(x) WHERE x.kind = 'a' | x.kind]) AS n",
+    ],
+)
+def test_patterns_in_where_and_return_do_not_go_stale(spark, tmp_path, text):
+    """After every batch the stored matches are those of a whole evaluation."""
+    events = log() + [event("u2", "EdgeAdded", 4, edge="DID", other="u0"), event("e2", "PropertySet", 5, "kind", "a"), event("e5", "PropertySet", 5, "kind", "c")]
+    random.Random(3).shuffle(events)
+    e = Engine(spark, events=EventGraph(spark, str(tmp_path / "log")))
+    q = StandingQuery(e, "q", text)
+    for part in (events[:9], events[9:15], events[15:18], events[18:]):
+        q.process(spark.createDataFrame(part, SCHEMA))
+        assert sorted(tuple(r) for r in q.matches().collect()) == sorted(tuple(r)[:-1] for r in q.evaluate().collect())
+
+
+def test_purge_and_history(spark, tmp_path):
+    g = EventGraph(spark, str(tmp_path / "log"))
+    g.append(spark.createDataFrame(log(), SCHEMA))
+    before = g.events().count()
+    g.purge(["u0"])
+    left = g.events()
+    assert 0 < left.count() < before and left.where("node_id = 'u0' or other = 'u0'").isEmpty()
+    assert [p.name for p in tmp_path.iterdir()] == ["log"]
+
+
+def test_slack_output_sends_every_result(spark, monkeypatch, tmp_path):
+    sent = str(tmp_path / "sent")
+
+    def post(req, timeout):
+        with open(sent, "ab") as f:
+            f.write(req.data + b"\n")
+        return open(sent)
+
+    monkeypatch.setattr(outputs.urllib.request, "urlopen", post)
+    df = spark.range(45).select(F.struct("id").alias("data"), F.struct(F.lit(True).alias("isPositiveMatch")).alias("meta")).coalesce(1)
+    rows = [r.value for r in outputs._lines(df, "WithMetadata").collect()]
+
+    class Here:  # the partition function, in this process
+        def foreachPartition(self, f):
+            f(iter([type("R", (), {"value": x}) for x in rows]))
+
+    monkeypatch.setattr(outputs, "_lines", lambda *_: Here())
+    outputs.slack("http://localhost/x")(df)
+    bodies = [json.loads(x) for x in open(sent, "rb")]
+    assert [len(b["attachments"]) for b in bodies] == [20, 20, 5] and [a["text"] for b in bodies for a in b["attachments"]] == rows
+
+
 def test_file_stream_into_graph_and_tap(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for part in range(3):

@@ -51,7 +51,10 @@ def aggregate(name: str, args: list[Val], distinct: bool, star: bool, fixed: boo
     if star:
         return Val(F.count(F.lit(1)), LONG)
     v = args[0]
-    if isinstance(v.type, T.VariantType) and (distinct or name in ("min", "max")):
+    if name in ("min", "max") and (V.has_variant(v.type) or isinstance(v.type, T.MapType)):
+        # The value itself, chosen by the total order over values of all types.
+        return Val((F.min_by if name == "min" else F.max_by)(v.col, V.order_key(v.col, v.type)), v.type)
+    if isinstance(v.type, T.VariantType) and distinct:
         v = Val(V.variant_key(v.col), V.STRING)
     if name == "count":
         c: Column = F.count_distinct(_key(v)) if distinct else F.count(v.col)

@@ -113,6 +113,22 @@ def variant_key(c: Column) -> Column:
     return F.to_json(c)
 
 
+def has_variant(t: T.DataType) -> bool:
+    return isinstance(t, T.VariantType) or isinstance(t, T.ArrayType) and has_variant(t.elementType)
+
+
+def order_key(c: Column, t: T.DataType) -> Column:
+    """One column that orders values, variants and lists of them by the total order: texts, booleans, numbers, others."""
+    if isinstance(t, T.VariantType):
+        kind = F.schema_of_variant(c)
+        rank = F.when(kind == "STRING", 0).when(kind == "BOOLEAN", 1).when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), 2).otherwise(3)
+        key = F.struct(rank.alias("rank"), F.when(rank == 2, F.try_variant_get(c, "$", "double")).alias("number"), F.coalesce(F.try_variant_get(c, "$", "string"), F.to_json(c)).alias("text"))
+        return F.when(c.isNotNull() & (kind != "VOID"), key)
+    if isinstance(t, T.ArrayType) and has_variant(t):
+        return F.transform(c, lambda x: order_key(x, t.elementType))
+    return F.to_json(c) if isinstance(t, T.MapType) else c
+
+
 def sort_keys(v: Val, ascending: bool) -> list[Column]:
     """Order by the total order with nulls largest."""
     c = v.col

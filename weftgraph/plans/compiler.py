@@ -761,6 +761,8 @@ class Compiler:
             now = self.child()
             now.df = rest.select(row, *[F.col(f"`{step.scope[k].name}`").cast(t).alias(again[k]) for k, t in types.items()])
             now.scope = {k: ValueVar(again[k], t) for k, t in types.items()}
+        else:
+            raise CompileProblem(f"CALL RECURSIVELY has rows that are not done after {MOST_HOPS} rounds")
         self.df = self.df.join(done.withColumnRenamed(row, row + "'"), F.col(f"`{row}`") == F.col(f"`{row}'`")).drop(row, row + "'")
         self.scope |= {k: ValueVar(n, t) for k, (n, t) in names.items()}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -225,50 +226,94 @@ def save_random_walks(graph, path: str, length: int = 10, count: int = 5, back:
 
 
 # Sub-queries as text
-def _value_table(c, df: DataFrame) -> DataFrame:
-    return df.select(F.to_variant_object(F.struct(*[F.col(f"`{x}`") for x in df.columns])).alias("value") if df.columns else F.parse_json(F.lit("{}")).alias("value"))
-
-
-def _alone(c, text: str, params: dict) -> DataFrame:
+def _per_row(c, df: DataFrame, row: str, text: str, params) -> DataFrame:
+    """(row, value): the results of a query text for each row of df, whose parameters are values of that row."""
     from weftgraph.engine import parsed
-    from weftgraph.plans.compiler import Compiler
 
-    inner = Compiler(c.graph, {**c.params, **params}, writer=c.writer, procedures=c.procedures, unique=c.unique)
+    inner = c.child()
+    inner.df, inner.row, inner.row_ids, inner.one_row = df, row, df.select(row), False
+    items = params.items if isinstance(params, A.MapLit) else [(k, A.Lit(v)) for k, v in (c.constant(params) if params is not None else {}).items()]
+    vals = {k: inner.ev(e) for k, e in items}
+    names = {k: fresh(k) for k in vals}
+    inner.df = df.select(row, *[v.col.alias(names[k]) for k, v in vals.items()])
+    inner.scope = {k: ValueVar(names[k], v.type) for k, v in vals.items()}
     inner.query(parsed(text))
-    return _value_table(c, inner.result())
+    out = inner.flat()
+    fields = [F.col(f"`{v.name}`").alias(k) for k, v in out.scope.items()]
+    return out.df.select(row, (F.to_variant_object(F.struct(*fields)) if fields else F.parse_json(F.lit("{}"))).alias("value"))
+
+
+def _numbered(c) -> str:
+    row = fresh("row")
+    c.df = settle((c.df if c.df.columns else c.spark.range(1)).withColumn(row, F.monotonically_increasing_id()))
+    return row
+
+
+def _joined(c, row: str, rows: DataFrame) -> dict[str, Val]:
+    out = fresh("value")
+    rows = rows.select(F.col(row).alias(row + "'"), F.col("value").alias(out))
+    c.df = c.df.join(rows, F.col(f"`{row}`") == F.col(f"`{row}'`")).drop(row, row + "'")
+    return {"value": Val(F.col(f"`{out}`"), T.VariantType())}
 
 
 @procedure("cypher.doIt", ["value"], "(query, params?) :: (value)")
-@procedure("cypher.runTimeboxed", ["value"], "(query, params, timeout) :: (value)")
 def _do_it(c, args):
-    return table(c, _alone(c, c.constant(args[0]), c.constant(args[1]) if len(args) > 1 else {}))
+    row = _numbered(c)
+    return _joined(c, row, _per_row(c, c.df, row, c.constant(args[0]), args[1] if len(args) > 1 else None))
+
+
+@procedure("cypher.runTimeboxed", ["value"], "(query, params, timeout) :: (value)")
+def _timeboxed(c, args):
+    """As doIt; its jobs are cancelled, and the query fails, when they take more than so many milliseconds."""
+    sc, tag = c.spark.sparkContext, fresh("timebox").replace("·", "-")
+    row, over = _numbered(c), threading.Event()
+
+    def stop() -> None:
+        over.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(float(c.constant(args[2])) / 1000, stop)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        rows = settle(_per_row(c, c.df, row, c.constant(args[0]), args[1]))
+    except Exception as e:
+        if over.is_set():
+            raise TimeoutError("the query took longer than its time box") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+    return _joined(c, row, rows)
 
 
 @procedure("do.when", ["value"], "(condition, if, else, params?) :: (value)")
 def _do_when(c, args):
-    return _branches(c, [(args[0], args[1])], args[2], c.constant(args[3]) if len(args) > 3 else {})
+    return _branches(c, [(args[0], args[1])], args[2], args[3] if len(args) > 3 else None)
 
 
 @procedure("cypher.do.case", ["value"], "(conditionals, else, params?) :: (value)")
 def _do_case(c, args):
     flat = args[0].items
-    return _branches(c, list(zip(flat[::2], flat[1::2])), args[1], c.constant(args[2]) if len(args) > 2 else {})
+    return _branches(c, list(zip(flat[::2], flat[1::2])), args[1], args[2] if len(args) > 2 else None)
 
 
-def _branches(c, pairs: list, default, params: dict) -> dict[str, Val]:
-    """The first true condition's query for each row."""
-    which, out = fresh("which"), fresh("value")
+def _branches(c, pairs: list, default, params) -> dict[str, Val]:
+    """For each row the query of its first true condition."""
     test = F.lit(len(pairs))
     for i in range(len(pairs) - 1, -1, -1):
         test = F.when(c.ev(pairs[i][0]).col, F.lit(i)).otherwise(test)
-    parts = None
+    which = fresh("which")
+    c.df = c.df.withColumn(which, test)
+    row, parts = _numbered(c), None
     for i, q in enumerate([q for _, q in pairs] + [default]):
         text = c.constant(q)
-        rows = _alone(c, text, params) if text else c.spark.createDataFrame([], "value string").select(F.parse_json("value").alias("value"))
-        rows = rows.select(F.lit(i).alias(which + "'"), F.col("value").alias(out))
-        parts = rows if parts is None else parts.unionByName(rows)
-    c.df = c.df.withColumn(which, test).join(parts, F.col(f"`{which}`") == F.col(f"`{which}'`"))
-    return {"value": Val(F.col(f"`{out}`"), T.VariantType())}
+        if text:
+            rows = _per_row(c, c.df.where(F.col(f"`{which}`") == i), row, text, params)
+            parts = rows if parts is None else parts.unionByName(rows)
+    if parts is None:
+        parts = c.df.select(row, F.parse_json(F.lit("{}")).alias("value")).limit(0)
+    return _joined(c, row, parts)
 
 
 # Changes of nodes

@@ -108,6 +108,25 @@ _add("temporal_functions", "WITH localdatetime('2021-03-04T05:06:07') AS t RETUR
 _add("id_functions", "MATCH (r:Region) RETURN idFrom('r', r.r_regionkey) = idFrom('r', r.r_regionkey) AS same, idFrom('r', r.r_regionkey) = idFrom('s', r.r_regionkey) AS other, idFrom('r', null) IS NULL AS none, id(r) AS id", "SELECT true AS same, false AS other, true AS none, 'Region:' || r_regionkey AS id FROM region")
 # Procedures and traversals
 _add("filtered_edges", "MATCH (n:Nation) CALL getFilteredEdges(n, ['IN_REGION'], ['outgoing'], []) YIELD edge RETURN endNode(edge) AS region, count(*) AS n", "SELECT 'Region:' || n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
+_add("trigonometry", "MATCH (p:Part) WITH p, p.p_size / 100.0 AS x RETURN p.p_partkey AS k, round(acos(x), 6) AS a, round(asin(x), 6) AS b, round(atan(x), 6) AS c, round(cos(x), 6) AS d, round(cot(x), 6) AS e, round(sin(x), 6) AS f, round(tan(x), 6) AS g, round(degrees(x), 6) AS h, round(radians(x), 6) AS i",
+     "SELECT p_partkey AS k, round(acos(x), 6) AS a, round(asin(x), 6) AS b, round(atan(x), 6) AS c, round(cos(x), 6) AS d, round(1 / tan(x), 6) AS e, round(sin(x), 6) AS f, round(tan(x), 6) AS g, round(degrees(x), 6) AS h, round(radians(x), 6) AS i FROM (SELECT *, p_size / 100.0::DOUBLE AS x FROM part)")
+_add("exponentials", "MATCH (p:Part) WITH p, p.p_size + 1 AS x RETURN p.p_partkey AS k, round(exp(x / 10.0), 6) AS a, round(log10(x), 6) AS b, round(e() * x, 6) AS c, round(pi() * x, 6) AS d",
+     "SELECT p_partkey AS k, round(exp((p_size + 1) / 10.0::DOUBLE), 6) AS a, round(log10(p_size + 1), 6) AS b, round(exp(1.0::DOUBLE) * (p_size + 1), 6) AS c, round(pi() * (p_size + 1), 6) AS d FROM part")
+_add("text_edges", "MATCH (p:Part) WITH '  ' + p.p_name + ' ' AS t, p RETURN p.p_partkey AS k, lTrim(t) AS l, rTrim(t) AS r, toBoolean(CASE WHEN p.p_size > 20 THEN 'true' ELSE 'FALSE' END) AS b, text.utf8Decode(text.utf8Encode(p.p_name)) AS u, text.utf8Decode(convert.stringToBytes(p.p_brand, 'UTF-8')) AS v",
+     "SELECT p_partkey AS k, ltrim('  ' || p_name || ' ') AS l, rtrim('  ' || p_name || ' ') AS r, p_size > 20 AS b, p_name AS u, p_brand AS v FROM part")
+_add("path_parts", "MATCH p = (s:Supplier)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN s.s_suppkey AS k, size(nodes(p)) AS n, size(relationships(p)) AS m, nodes(p)[1] AS middle",
+     "SELECT s_suppkey AS k, CAST(3 AS BIGINT) AS n, CAST(2 AS BIGINT) AS m, 'Nation:' || s_nationkey AS middle FROM supplier")
+_add("property_maps", "MATCH (n:Nation) RETURN n.n_name AS name, properties(n).n_name AS same, strId(n) AS id", "SELECT n_name AS name, n_name AS same, 'Nation:' || n_nationkey AS id FROM nation")
+_add("casts_that_throw", "MATCH (n:Nation) WITH n, toJson({a: n.n_nationkey, b: n.n_name}) AS j RETURN n.n_name AS name, castOrThrow.integer(parseJson(j).a) AS a, castOrThrow.string(parseJson(j).b) AS b, coll.min(n.n_nationkey, 7) AS least", "SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS a, n_name AS b, CAST(least(n_nationkey, 7) AS BIGINT) AS least FROM nation")
+_add("mixed_extremes", "UNWIND [1, 2, 'hello', 4.0, null, true, 'a'] AS x WITH max(x) AS top, min(x) AS low RETURN castOrNull.float(top) AS top, castOrNull.string(low) AS low", "SELECT CAST(4 AS DOUBLE) AS top, 'a' AS low")
+_add("property_keys", "CALL db.propertyKeys() YIELD propertyKey WITH propertyKey AS k WHERE k STARTS WITH 'n_' RETURN k", "SELECT k FROM (VALUES ('n_chars'), ('n_name'), ('n_nationkey'), ('n_regionkey')) t(k)")
+_add("label_names", "CALL dbms.labels() YIELD label WITH label AS l WHERE l IN ['Nation', 'Region', 'Part'] RETURN l", "SELECT l FROM (VALUES ('Nation'), ('Region'), ('Part')) t(l)")
+_add("do_when_row_parameters", "MATCH (r:Region) CALL do.when(r.r_regionkey > 2, 'RETURN $k AS y', 'RETURN -$k AS y', {k: r.r_regionkey}) YIELD value RETURN r.r_name AS name, castOrNull.integer(value.y) AS y", "SELECT r_name AS name, CAST(CASE WHEN r_regionkey > 2 THEN r_regionkey ELSE -r_regionkey END AS BIGINT) AS y FROM region")
+_add("do_case_row_parameters", "MATCH (n:Nation) CALL cypher.do.case([n.n_nationkey < 5, 'RETURN $k + 100 AS y', n.n_nationkey < 10, 'UNWIND [$k, $k] AS y RETURN y'], 'RETURN 0 AS y', {k: n.n_nationkey}) YIELD value RETURN n.n_name AS name, castOrNull.integer(value.y) AS y",
+     "SELECT n_name AS name, CAST(n_nationkey + 100 AS BIGINT) AS y FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_name, n_nationkey FROM nation, range(2) WHERE n_nationkey BETWEEN 5 AND 9 UNION ALL SELECT n_name, 0 FROM nation WHERE n_nationkey >= 10")
+_add("do_it_row_parameters", "MATCH (r:Region) CALL cypher.doIt('MATCH (n:Nation) WHERE n.n_regionkey = $k RETURN count(n) AS c', {k: r.r_regionkey}) YIELD value RETURN r.r_name AS name, castOrNull.integer(value.c) AS c", "SELECT r_name AS name, count(*) AS c FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+_add("timeboxed", "CALL cypher.runTimeboxed('MATCH (r:Region) RETURN r.r_name AS name', {}, 600000) YIELD value RETURN castOrNull.string(value.name) AS name", "SELECT r_name AS name FROM region")
+_add("shortest_path_procedure", "MATCH (s:Supplier {s_suppkey: 1}), (r:Region) CALL algorithms.shortestPath(s, r, {direction: 'outgoing', maxLength: 3}) YIELD path RETURN id(r) AS goal, length(path) AS hops", "SELECT 'Region:' || n_regionkey AS goal, CAST(2 AS BIGINT) AS hops FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey = 1")
 _add("do_when", "UNWIND [1, 2] AS x CALL do.when(x = 1, 'RETURN 10 AS y', 'RETURN 20 AS y', {}) YIELD value RETURN x, castOrNull.integer(value.y) AS y", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(10 AS BIGINT)), (2, 20)) t(x, y)")
 _add("relationship_types", "CALL db.relationshipTypes() YIELD relationshipType RETURN relationshipType AS t", "SELECT * FROM (VALUES ('IN_REGION'), ('IN_NATION'), ('PLACED'), ('CONTAINS'), ('OF_PART'), ('FROM_SUPPLIER'), ('DID'), ('FROM_SOURCE')) x(t)")
 
@@ -115,6 +134,12 @@ GREMLIN = {
     "gremlin_out": ("g.V().hasLabel('Nation').out('IN_REGION').dedup().values('r_name')", "SELECT r_name AS result FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)"),
     "gremlin_count": ("g.V().hasLabel('Region').in('IN_REGION').in('IN_NATION').hasLabel('Supplier').count()", "SELECT count(*) AS result FROM supplier"),
     "gremlin_where": ("g.V().hasLabel('Nation').where(__.in('IN_NATION').hasLabel('Supplier')).id()", "SELECT 'Nation:' || n_nationkey AS result FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)"),
+    "gremlin_ids": ("g.V(['Nation:3', 'Region:1']).union(__.values('n_name'), __.values('r_name'))", "SELECT n_name AS result FROM nation WHERE n_nationkey = 3 UNION ALL SELECT r_name FROM region WHERE r_regionkey = 1"),
+    "gremlin_edges": ("g.V().hasLabel('Nation').outE('IN_REGION').inV().hasId('Region:2').strId()", "SELECT 'Region:' || n_regionkey AS result FROM nation WHERE n_regionkey = 2"),
+    "gremlin_select": ("g.V().hasLabel('Nation').as('a').out('IN_REGION').hasId('Region:3').select('a').values('n_name').is(regex('.*[0-4]'))", "SELECT n_name AS result FROM nation WHERE n_regionkey = 3 AND regexp_full_match(n_name, '.*[0-4]')"),
+    "gremlin_variable": ("x = 'Region:4'; g.V().hasLabel('Region').eqToVar(x).in('IN_REGION').count()", "SELECT count(*) AS result FROM nation WHERE n_regionkey = 4"),
+    "gremlin_path": ("g.V('Nation:3').out('IN_REGION').unrollPath().id()", "SELECT x AS result FROM nation, unnest(['Nation:' || n_nationkey, 'Region:' || n_regionkey]) t(x) WHERE n_nationkey = 3"),
+    "gremlin_not": ("g.V().hasLabel('Nation').not(__.in('IN_NATION').hasLabel('Supplier')).hasNot('r_name').limit(1000).id()", "SELECT 'Nation:' || n_nationkey AS result FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)"),
 }
 SQL |= {k: v for k, (_, v) in GREMLIN.items()}
 
@@ -170,6 +195,50 @@ def standing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["standing_query"] = "SELECT user_id AS user, CAST(count(*) FILTER (event_type = 'error') * count(*) FILTER (event_type = 'purchase') AS BIGINT) AS n FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') * count(*) FILTER (event_type = 'purchase') > 0"
 
+
+def standing_not_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users without an error, after their errors arrived: the pattern in WHERE takes back what stood."""
+    from weftgraph.streaming.standing import StandingQuery
+
+    e = _event_graph(spark, sf_dir)
+    log = e.events.events()
+    q = StandingQuery(e, "calm", "MATCH (u:User) WHERE NOT (u)-[:DID]->(:Event {kind: 'refund'}) RETURN u.user_id AS user")
+    changed = log.where("kind = 'PropertySet' AND key = 'kind' AND value = '\"error\"'").withColumn("ts_ms", F.lit(e.events.now())).withColumn("value", F.lit('"refund"'))
+    gone = q.process(changed).where("not meta.isPositiveMatch").select(F.col("data.user").alias("user"), F.lit("gone").alias("state"))
+    return q.matches().select("user", F.lit("stays").alias("state")).unionByName(gone)
+
+
+SQL["standing_not_pattern"] = "SELECT user_id AS user, CASE WHEN bool_or(event_type = 'error') THEN 'gone' ELSE 'stays' END AS state FROM events GROUP BY 1"
+
+
+def _written(final: str, *steps: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over a new event graph after the writing steps."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import uuid
+
+        from weftgraph.session import shared_dir
+        from weftgraph.streaming.events import EventGraph
+
+        e = Engine(spark, events=EventGraph(spark, f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"))
+        for text in steps:
+            e.cypher(text)
+        return e.cypher(final)
+
+    return query
+
+
+WRITTEN = {
+    "merge": ("MATCH (n:Thing) RETURN n.k AS k, n.state AS state", ["CREATE (:Thing {k: 1})", *(f"MERGE (n:Thing {{k: {k}}}) ON CREATE SET n.state = 'made' ON MATCH SET n.state = 'met'" for k in (1, 2))], "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'met'), (2, 'made')) t(k, state)"),
+    "foreach": ("MATCH (n:Step) RETURN n.i AS i, n.sq AS sq", ["FOREACH (i IN range(1, 3) | CREATE (:Step {i: i, sq: i * i}))"], "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(1 AS BIGINT)), (2, 4), (3, 9)) t(i, sq)"),
+    "set_properties": ("MATCH (n:T) RETURN n.b AS b, n.c AS c, labels(n) AS labels", ["CREATE (:T {a: 1, b: 2})", "MATCH (n:T) SET n += {b: 3, c: 4}, n:Extra", "MATCH (n:T) REMOVE n:Extra, n.a"], "SELECT CAST(3 AS BIGINT) AS b, CAST(4 AS BIGINT) AS c, ['T'] AS labels"),
+    "detach_delete": ("MATCH (a)-[:R]->(b) RETURN a.k AS a, b.k AS b", ["CREATE (:A {k: 1})-[:R]->(:B {k: 2})", "CREATE (:A {k: 3})-[:R]->(:B {k: 4})", "MATCH (n:B {k: 2}) DETACH DELETE n"], "SELECT CAST(3 AS BIGINT) AS a, CAST(4 AS BIGINT) AS b"),
+    "counters": ("MATCH (c:C) RETURN c.n AS n, c.m AS m, c.f AS f", ["CREATE (:C {k: 1, m: 10})", "MATCH (c:C) CALL incrementCounter(c, 'n', 5) YIELD count RETURN count", "MATCH (c:C) CALL int.add(c, 'm', 7) YIELD result RETURN result", "MATCH (c:C) CALL float.add(c, 'f', 1.5) YIELD result RETURN result"], "SELECT CAST(5 AS BIGINT) AS n, CAST(17 AS BIGINT) AS m, CAST(1.5 AS DOUBLE) AS f"),
+    "create_procedures": ("MATCH (a:New)-[:REL]->(b) RETURN a.k AS a, b.v AS b", ["CREATE (:P {k: 1}), (:Q {k: 2})", "MATCH (a:P), (b:Q) CALL create.relationship(a, 'REL', {}, b) YIELD rel RETURN 1 AS one", "MATCH (b:Q) CALL create.setProperty(b, 'v', 9)", "MATCH (a:P) CALL create.setLabels(a, ['New'])"], "SELECT CAST(1 AS BIGINT) AS a, CAST(9 AS BIGINT) AS b"),
+}
+SQL |= {f"write_{k}": sql for k, (_, _, sql) in WRITTEN.items()}
+
+
 def value_hash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and suppliers by key; as a hand-built plan, in which nulls would meet."""
     from weftgraph.operators import relational as R
@@ -198,9 +267,11 @@ SQL["or_else"] = "SELECT 'Nation:' || n_nationkey AS id, coalesce('Supplier:' ||
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{k: _cypher(v) for k, v in CYPHER.items()},
     **{k: (lambda spark, sf_dir, text=t: Engine.retail(spark, sf_dir).gremlin(text)) for k, (t, _) in GREMLIN.items()},
+    **{f"write_{k}": _written(final, *steps) for k, (final, steps, _) in WRITTEN.items()},
     "value_hash_join": value_hash_join,
     "or_else": or_else,
     "random_walk_lengths": random_walk_lengths,
     "ingest_counts": ingest_counts,
     "standing_query": standing_query,
+    "standing_not_pattern": standing_not_pattern,
 }

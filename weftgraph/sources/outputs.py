@@ -55,16 +55,24 @@ def http(url: str, headers: dict | None = None, structure: str = "WithMetadata",
     return lambda df: _lines(df, structure).foreachPartition(send)
 
 
-def slack(url: str) -> Output:
-    """One message for each batch of results."""
+def slack(url: str, each: int = 20) -> Output:
+    """All results, at most `each` of them in a message, from the executors."""
 
-    def out(df: DataFrame) -> None:
-        n, few = df.count(), [r.value for r in _lines(df, "WithMetadata").limit(20).collect()]
-        if n:
-            body = json.dumps({"text": f"{n} results", "attachments": [{"text": x} for x in few]}).encode()
-            urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=30).close()
+    def post(texts: list[str]) -> None:
+        body = json.dumps({"text": f"{len(texts)} results", "attachments": [{"text": x} for x in texts]}).encode()
+        urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=30).close()
 
-    return out
+    def send(rows) -> None:
+        now: list[str] = []
+        for r in rows:
+            now.append(r.value)
+            if len(now) == each:
+                post(now)
+                now = []
+        if now:
+            post(now)
+
+    return lambda df: _lines(df, "WithMetadata").foreachPartition(send)
 
 
 def kafka(servers: str, topic: str, structure: str = "WithMetadata") -> Output:

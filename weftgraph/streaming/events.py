@@ -8,6 +8,7 @@ __LABEL. The latest event of a node and key, or of an edge, by (ts_ms, seq) wins
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,12 +77,23 @@ class EventGraph:
         return self.cache[k]
 
     def purge(self, node_ids: list[str], namespace: str | None = None) -> None:
-        """Erase nodes and their history: the log is rewritten without them."""
-        gone = self.spark.createDataFrame([(i,) for i in node_ids], "id string")
+        """Erase nodes and their history: a log without them is written beside this one and takes its place.
+
+        The old log is deleted last, so that a failure at any moment leaves a whole log, here or under its `.old` name.
+        """
+        gone = self.spark.createDataFrame([(i, namespace or self.namespace) for i in node_ids], "id string, _ns string")
         keep = self.spark.read.schema(SCHEMA).parquet(self.path)
-        mine = (F.col("ns") == (namespace or self.namespace)) & ((F.col("node_id") == F.col("id")) | (F.col("other") == F.col("id")))
-        kept = settle(keep.join(gone, mine, "left_anti"))
-        kept.write.partitionBy("ns").mode("overwrite").parquet(self.path)
+        for end in ("node_id", "other"):
+            keep = keep.join(gone, (F.col("ns") == F.col("_ns")) & (F.col(end) == F.col("id")), "left_anti")
+        fresh = f"{self.path}.{uuid.uuid4().hex}"
+        keep.write.partitionBy("ns").parquet(fresh)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        here, new, old = path(self.path), path(fresh), path(f"{self.path}.old")
+        fs = here.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        if not (fs.rename(here, old) and fs.rename(new, here)):
+            raise OSError(f"the log {self.path} could not be replaced; {fresh} and {self.path}.old hold it")
+        fs.delete(old, True)
         self.cache.clear()
 
     def state_hash(self, namespace: str | None = None, at_time: int | None = None) -> int:

@@ -211,7 +211,10 @@ class Writer:
                 else:
                     raise CompileProblem("only nodes and relationships can be deleted")
             ids = settle(c.df.select(v.col("id").alias("id")).where("id is not null").distinct())
-            edges = self.graph.edges(self.ns).join(ids, (F.col("src") == F.col("id")) | (F.col("dst") == F.col("id")), "left_semi")
+            every = self.graph.edges(self.ns)
+            # By equal keys, one end at a time: edges that start here, then those that only end here.
+            edges = every.join(ids, F.col("src") == F.col("id"), "left_semi")
+            edges = edges.unionByName(every.join(ids, F.col("src") == F.col("id"), "left_anti").join(ids, F.col("dst") == F.col("id"), "left_semi"))
             if not clause.detach and not edges.isEmpty():
                 raise CompileProblem("a node with relationships needs DETACH DELETE")
             self.add(settle(edges), F.col("src"), DROPPED, edge=F.col("type"), other=F.col("dst"))

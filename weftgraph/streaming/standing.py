@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.engine import Engine, parsed
 from weftgraph.plans import ast as A
-from weftgraph.plans.compiler import Compiler
+from weftgraph.plans.compiler import Compiler, children
 from weftgraph.session import settle
 
 ROOT = "·root"
@@ -76,13 +76,31 @@ def validate(q: A.Query, mode: str = "MultipleValues") -> str:
     return root
 
 
+def patterns_in(e) -> list[A.PatternExpr]:
+    """The patterns that stand anywhere in an expression."""
+    return ([e] if isinstance(e, A.PatternExpr) else []) + [p for x in children(e) for p in patterns_in(x)]
+
+
+def steps(e: A.PatternExpr) -> int:
+    """The most steps from a pattern's start to its end."""
+    out = 0
+    for x in e.pattern.parts:
+        if isinstance(x, A.RelPattern):
+            if x.variable and x.high is None:
+                raise PatternProblem("a pattern in WHERE or RETURN has a greatest length")
+            out += x.high if x.variable else 1
+    return out
+
+
 class StandingQuery:
     def __init__(self, engine: Engine, name: str, text: str, mode: str = "MultipleValues", cancellations: bool = True, outputs: list | None = None, propagate: bool = True):
         self.engine, self.name, self.cancellations, self.outputs = engine, name, cancellations, outputs or []
         q = copy.deepcopy(parsed(text))
         self.root = validate(q, mode)
         m, r = q.branches[0]
-        self.reach = sum(isinstance(x, A.RelPattern) for p in m.patterns for x in p.parts)
+        # A pattern in WHERE or RETURN can change a match as well: its steps reach beyond the nodes of MATCH.
+        beyond = max((steps(p) for x in (m.where, *(e for e, _ in r.items)) for p in patterns_in(x)), default=0)
+        self.reach = sum(isinstance(x, A.RelPattern) for p in m.patterns for x in p.parts) + beyond
         r.items = [*r.items, (A.Call("id", (A.Var(self.root),)), ROOT)]
         self.query = q
         self.results = settle(self.evaluate()) if propagate else None
