@@ -332,7 +332,7 @@ def test_embedding_links_against_brute_force(spark):
     label = [i % 2 for i in range(300)]
     rows = [(i, [float(v) for v in r], c) for i, (r, c) in enumerate(zip(x.astype(np.float32), label))]
     rows += [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] + [1.0] * 15, 0), (1003, rows[0][1], None), (1004, rows[0][1][:8], 0), (1005, [None] * 16, 0), (130, rows[130][1], 0)]
-    got = embdedup.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("root", F.lit("x")), block_rows=40).toPandas()
+    got = embdedup.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("root", F.lit("x")), block_bytes=40 * 8 * 16).toPandas()
     ok = [i for i in range(len(rows)) if i < 300 or i == len(rows) - 1]
     u = np.array([np.array(rows[i][1], dtype=np.float32).astype(float) for i in ok])
     u /= np.linalg.norm(u, axis=1, keepdims=True)

@@ -93,7 +93,7 @@ def trees(n: int, runs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return root
 
 
-def near_groups(vectors: DataFrame, least: float = 0.93, block_rows: int = 2048) -> DataFrame:
+def near_groups(vectors: DataFrame, least: float = 0.93, block_bytes: int = 4 << 20) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
     # Divided by the largest component first, so that no square overflows.
@@ -101,7 +101,8 @@ def near_groups(vectors: DataFrame, least: float = 0.93, block_rows: int = 2048)
     able = F.coalesce(valid(F.col("x")) & F.col("label").isNotNull() & (big > 0), F.lit(False))
     rows = cut(rows.withColumn("able", able))
     classes = cut(rows.where("able").groupBy("label", "x").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("big", big).withColumn("c", F.monotonically_increasing_id()))
-    sizes = classes.groupBy("label", F.size("x").alias("dim")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    # A block holds so many bytes of vectors, whatever their dimension: a class is copied once for each block of its label.
+    sizes = classes.groupBy("label", F.size("x").alias("dim")).agg(F.ceil(F.count("*") * 8 * F.first(F.size("x")) / block_bytes).cast("int").alias("blocks"))
     # The scale is a written column: inside the lambda it would be found again for every component.
     scaled = classes.select("label", "c", "n", F.size("x").alias("dim"), F.transform("x", lambda v: v / F.col("big")).alias("x"))
     dealt = scaled.join(sizes, ["label", "dim"])
