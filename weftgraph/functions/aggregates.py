@@ -32,21 +32,23 @@ def _stdev(v: Val, distinct: bool, sample: bool) -> Val:
     return Val(F.coalesce(F.when(F.count(x) > 1, F.stddev_samp(x)) if sample else F.stddev_pop(x), F.lit(0.0)), DOUBLE)
 
 
-def _percentile(v: Val, p: Val, discrete: bool, fixed: bool) -> Val:
-    """The fraction of the first row counts. Discrete: the element at round(p * (n - 1)), from 0."""
-    if not discrete and fixed:
+def _percentile(args: list[Val], discrete: bool) -> Val:
+    """Constant fractions of percentileCont: Spark's own. Else of ranked rows (value, fraction, place from 0, values in the group).
+
+    The fraction of the first row counts. Discrete: the element at round(p * (n - 1)), from 0.
+    """
+    v, p = args[:2]
+    if len(args) == 2:
         return Val(F.call_function("percentile", v.col.cast("double"), p.col), DOUBLE)
-    sorted_ = F.array_sort(F.collect_list(v.col if discrete else v.col.cast("double")))
-    if not discrete:
-        place = F.least(F.greatest(F.first(p.col).cast("double"), F.lit(0.0)), F.lit(1.0)) * (F.size(sorted_) - 1)
-        low = F.try_element_at(sorted_, F.floor(place).cast("int") + 1)
-        return Val(F.when(F.size(sorted_) > 0, low + (place - F.floor(place)) * (F.try_element_at(sorted_, F.ceil(place).cast("int") + 1) - low)), DOUBLE)
-    at = F.floor(F.first(p.col) * (F.size(sorted_) - 1) + 0.5).cast("int") + 1
-    return Val(F.when(F.size(sorted_) > 0, F.try_element_at(sorted_, at)), v.type)
+    at, last = args[2].col, args[3].col - 1
+    if discrete:
+        return Val(F.first(F.when(at == F.floor(p.col * last + 0.5), v.col), ignorenulls=True), v.type)
+    place = F.least(F.greatest(p.col.cast("double"), F.lit(0.0)), F.lit(1.0)) * last
+    low, high = (F.max(F.when(at == f(place), v.col.cast("double"))) for f in (F.floor, F.ceil))
+    return Val(low + F.max(place - F.floor(place)) * (high - low), DOUBLE)
 
 
-def aggregate(name: str, args: list[Val], distinct: bool, star: bool, fixed: bool = True) -> Val:
-    """`fixed`: further arguments are constants."""
+def aggregate(name: str, args: list[Val], distinct: bool, star: bool) -> Val:
     name = name.lower()
     if star:
         return Val(F.count(F.lit(1)), LONG)
@@ -74,7 +76,7 @@ def aggregate(name: str, args: list[Val], distinct: bool, star: bool, fixed: boo
         return Val((F.min if name == "min" else F.max)(v.col), v.type)
     if name in ("stdev", "stdevp"):
         return _stdev(v, distinct, name == "stdev")
-    return _percentile(v, args[1], name == "percentiledisc", fixed)
+    return _percentile(args, name == "percentiledisc")
 
 
 def _key(v: Val) -> Column:

@@ -64,6 +64,7 @@ class NodeVar:
 class ValueVar:
     name: str
     type: T.DataType
+    ends: tuple[set, set] | None = None  # of a relationship: labels of the tables that its start and end may be in
 
     def columns(self) -> list[str]:
         return [self.name]
@@ -325,12 +326,31 @@ class Compiler:
                 return self.attach(x.args[0], "count")
             if isinstance(x, A.PatternExpr):
                 return self.attach(x, "exists" if x.value is None else "list")
+            if isinstance(x, A.Call) and x.name.lower() in ("id", "strid") and len(x.args) == 1 and self.is_end(x.args[0]):
+                return A.Call("endpointId", (A.Lit(x.args[0].name.lower()), *x.args[0].args), False, False)
+            if self.is_end(x):
+                return self.end_node(x)
             if isinstance(x, A.ShortestPath):
                 return self.shortest(x.pattern)
             return None
 
         return replace(e, swap)
 
+    def is_end(self, e) -> bool:
+        """Whether e is startNode or endNode of a relationship of the rows (not of an element of a list)."""
+        return isinstance(e, A.Call) and e.name.lower() in ("startnode", "endnode") and len(e.args) == 1 and all(n in self.scope for n in self.names(e.args[0]))
+
+    def end_node(self, e: A.Call) -> A.Var:
+        """A hidden variable of the node at an end of a relationship, fetched by its id."""
+        name = fresh("#end")
+        at = self.ev(e).col
+        ends = getattr(self.scope.get(e.args[0].name), "ends", None) if isinstance(e.args[0], A.Var) else None
+        labels = ends[e.name.lower() == "endnode"] if ends else {None}
+        right, node = self.scan(name, self.graph.vertices if None in labels else [t for t in self.graph.vertices if t.label in labels])
+        self.df = self.df.join(right, at == node.col("id"), "left")
+        self.scope[name] = node
+        return A.Var(name)
+
     def attach(self, p: A.PatternExpr, what: str):
         inner, shared, rest = self.standalone([p.pattern], p.where, p.value)
         if rest:
@@ -526,7 +546,7 @@ class Compiler:
         if rel.var:
             name = fresh(rel.var)
             self.df = self.df.withColumn(name, step)
-            self.scope[rel.var] = ValueVar(name, REL)
+            self.scope[rel.var] = ValueVar(name, REL, tuple({getattr(e, x) for e, _ in ways} for x in ("src_label", "dst_label")))
         return b, F.array(step)
 
     def native_step(self, a: NodeVar, p: A.NodePattern, e: EdgeTable, flipped: bool, known: NodeVar | None):
@@ -841,7 +861,7 @@ class Compiler:
 
     def group(self, items: list, order: list) -> tuple[list, list]:
         """groupBy on the items without aggregates; gives back items and order over the grouped rows."""
-        keys, aggs, found, none = {}, {}, {}, {}
+        keys, aggs, found, none, ranked = {}, {}, {}, {}, {}
         new_scope: dict = {}
         first = {}
         for e, n in items:
@@ -864,6 +884,8 @@ class Compiler:
                     keys[name] = x.col
                 new_scope[n] = ValueVar(name, x.type)
 
+        fixed = lambda x: all(isinstance(y, (A.Lit, A.Param)) for y in x.args[1:])
+
         def swap(x):
             if isinstance(x, A.Call) and x.name.lower() in aggregates.NAMES:
                 if repr(x) not in found:
@@ -871,7 +893,10 @@ class Compiler:
                     node = self.scope.get(x.args[0].name) if x.args and isinstance(x.args[0], A.Var) and x.name.lower() == "count" else None
                     # A node counts by its id; its properties are not read for that.
                     args = [Val(node.col("id"), STRING)] if isinstance(node, NodeVar) else [self.ev(self.prepared(y)) for y in x.args]
-                    v = aggregates.aggregate(x.name, args, x.distinct, x.star, all(isinstance(y, (A.Lit, A.Param)) for y in x.args[1:]))
+                    if x.name.lower().startswith("percentile") and not (x.name.lower() == "percentilecont" and fixed(x)):
+                        ranked[name] = args
+                        args = [Val(F.col(f"`{name}·v`"), args[0].type), Val(F.col(f"`{name}·p`"), args[1].type), Val(F.col(f"`{name}·at`"), LONG), Val(F.col(f"`{name}·n`"), LONG)]
+                    v = aggregates.aggregate(x.name, args, x.distinct, x.star)
                     aggs[name] = v.col.alias(name)
                     none[name] = F.lit(0) if x.name.lower() in ("count", "sum", "stdev", "stdevp") and not isinstance(v.type, T.DayTimeIntervalType) else F.array().cast(v.type) if x.name.lower() == "collect" else None
                     found[repr(x)] = name
@@ -883,6 +908,10 @@ class Compiler:
         out = [(A.Var(n) if not has_aggregate(e) else replace(e, swap), n) for e, n in items]
         aliases = {n for _, n in items}
         sorts = [(e if isinstance(e, A.Var) and e.name in aliases else replace(e, swap), up) for e, up in order]
+        for name, (value, share) in ranked.items():
+            # Rows are ranked within their group by a sort, which spills, instead of in one list.
+            group = W.partitionBy(*([F.col(self.row)] if self.row else []), *keys.values())
+            self.df = self.df.withColumns({f"{name}·v": value.col, f"{name}·p": F.first(share.col).over(group), f"{name}·n": F.count(value.col).over(group), f"{name}·at": F.row_number().over(group.orderBy(*V.sort_keys(value, True))).cast("long") - 1})
         by = ([F.col(self.row)] if self.row else []) + [c.alias(k) for k, c in keys.items()]
         self.df = self.df.groupBy(*by).agg(*aggs.values(), *first.values()) if aggs or first else self.df.select(*by).distinct()
         if self.row and self.row_ids is not None and not keys:  # an outer row without inner rows still has its aggregates
@@ -1085,6 +1114,8 @@ class Compiler:
                 return Val(one.col("labels"), T.ArrayType(STRING))
         if name in ("exists",):
             return Val(self.ev(e.args[0]).col.isNotNull(), BOOL)
+        if name == "endpointid":
+            return self.ev_call(A.Call(e.args[0].value, e.args[1:], False, False))
         if name in ("startnode", "endnode"):
             return Val(self.ev(e.args[0]).col["start" if name == "startnode" else "end"], STRING)
         return scalar.call(e.name, [self.ev(a) for a in e.args])

@@ -107,7 +107,7 @@ _add("temporal_functions", "WITH localdatetime('2021-03-04T05:06:07') AS t RETUR
      "SELECT CAST(2021 AS BIGINT) AS y, CAST(3 AS BIGINT) AS m, CAST(4 AS BIGINT) AS d, CAST(5 AS BIGINT) AS h, CAST(7 AS BIGINT) AS s, '2021/03/04' AS f, CAST(367 AS BIGINT) AS secs, CAST(3723000000000 AS BIGINT) AS nanos, CAST(5 AS BIGINT) AS later")
 _add("id_functions", "MATCH (r:Region) RETURN idFrom('r', r.r_regionkey) = idFrom('r', r.r_regionkey) AS same, idFrom('r', r.r_regionkey) = idFrom('s', r.r_regionkey) AS other, idFrom('r', null) IS NULL AS none, id(r) AS id", "SELECT true AS same, false AS other, true AS none, 'Region:' || r_regionkey AS id FROM region")
 # Procedures and traversals
-_add("filtered_edges", "MATCH (n:Nation) CALL getFilteredEdges(n, ['IN_REGION'], ['outgoing'], []) YIELD edge RETURN endNode(edge) AS region, count(*) AS n", "SELECT 'Region:' || n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
+_add("filtered_edges", "MATCH (n:Nation) CALL getFilteredEdges(n, ['IN_REGION'], ['outgoing'], []) YIELD edge RETURN id(endNode(edge)) AS region, count(*) AS n", "SELECT 'Region:' || n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
 _add("trigonometry", "MATCH (p:Part) WITH p, p.p_size / 100.0 AS x RETURN p.p_partkey AS k, round(acos(x), 6) AS a, round(asin(x), 6) AS b, round(atan(x), 6) AS c, round(cos(x), 6) AS d, round(cot(x), 6) AS e, round(sin(x), 6) AS f, round(tan(x), 6) AS g, round(degrees(x), 6) AS h, round(radians(x), 6) AS i",
      "SELECT p_partkey AS k, round(acos(x), 6) AS a, round(asin(x), 6) AS b, round(atan(x), 6) AS c, round(cos(x), 6) AS d, round(1 / tan(x), 6) AS e, round(sin(x), 6) AS f, round(tan(x), 6) AS g, round(degrees(x), 6) AS h, round(radians(x), 6) AS i FROM (SELECT *, p_size / 100.0::DOUBLE AS x FROM part)")
 _add("exponentials", "MATCH (p:Part) WITH p, p.p_size + 1 AS x RETURN p.p_partkey AS k, round(exp(x / 10.0), 6) AS a, round(log10(x), 6) AS b, round(e() * x, 6) AS c, round(pi() * x, 6) AS d",
@@ -127,6 +127,27 @@ _add("do_case_row_parameters", "MATCH (n:Nation) CALL cypher.do.case([n.n_nation
 _add("do_it_row_parameters", "MATCH (r:Region) CALL cypher.doIt('MATCH (n:Nation) WHERE n.n_regionkey = $k RETURN count(n) AS c', {k: r.r_regionkey}) YIELD value RETURN r.r_name AS name, castOrNull.integer(value.c) AS c", "SELECT r_name AS name, count(*) AS c FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 _add("timeboxed", "CALL cypher.runTimeboxed('MATCH (r:Region) RETURN r.r_name AS name', {}, 600000) YIELD value RETURN castOrNull.string(value.name) AS name", "SELECT r_name AS name FROM region")
 _add("shortest_path_procedure", "MATCH (s:Supplier {s_suppkey: 1}), (r:Region) CALL algorithms.shortestPath(s, r, {direction: 'outgoing', maxLength: 3}) YIELD path RETURN id(r) AS goal, length(path) AS hops", "SELECT 'Region:' || n_regionkey AS goal, CAST(2 AS BIGINT) AS hops FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey = 1")
+_add("endpoint_nodes", "MATCH (:Customer)-[r:IN_NATION]->() WHERE startNode(r).c_acctbal > 5000 RETURN endNode(r).n_name AS nation, count(*) AS n, max(startNode(r).c_acctbal) AS most", "SELECT n_name AS nation, count(*) AS n, max(c_acctbal) AS most FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 5000 GROUP BY 1")
+_add("percentile_disc_all", "MATCH (o:Order) RETURN percentileDisc(o.o_totalprice, 0.9) AS q, percentileDisc(o.o_orderdate, 0) AS first, count(*) AS n",
+     "SELECT v AS q, first, n FROM (SELECT o_totalprice AS v, min(o_orderdate) OVER () AS first, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE i = CAST(floor(0.9 * (n - 1) + 0.5) AS BIGINT)")
+_add("percentile_of_row_fractions", "MATCH (c:Customer) WITH c, CASE c.c_mktsegment WHEN 'BUILDING' THEN 0.5 ELSE 0.25 END AS p RETURN c.c_mktsegment AS s, round(percentileCont(c.c_acctbal, p), 6) AS q",
+     "SELECT c_mktsegment AS s, round(CASE c_mktsegment WHEN 'BUILDING' THEN quantile_cont(c_acctbal, 0.5) ELSE quantile_cont(c_acctbal, 0.25) END, 6) AS q FROM customer GROUP BY 1")
+_add("hashes", "MATCH (n:Nation) RETURN n.n_nationkey AS k, hash(n.n_name, 1) = hash(n.n_name, 1) AS same, hash(n.n_name) = hash(n.n_name + 'x') AS other, kafkaHash(n.n_name) >= 0 AS whole, locIdFrom(3, n.n_name) STARTS WITH '3/' AS placed, text.utf8Decode(bytes('4142')) AS b", "SELECT n_nationkey AS k, true AS same, false AS other, true AS whole, true AS placed, 'AB' AS b FROM nation")
+_add("generated", "MATCH (n:Nation) WITH n.n_nationkey AS k RETURN k, size(gen.string.from(k, 12)) AS s, gen.integer.from(k) = gen.integer.from(k) AS i, gen.float.from(k) < 1.0 AS f, meta.type(gen.boolean.from(k)) AS b, meta.type(gen.bytes.from(k, 4)) AS y, size(gen.node.from(k)) AS n",
+     "SELECT n_nationkey AS k, CAST(12 AS BIGINT) AS s, true AS i, true AS f, 'BOOLEAN' AS b, 'BYTES' AS y, CAST(64 AS BIGINT) AS n FROM nation")
+_add("type_names", "UNWIND [1] AS i RETURN meta.type(i) AS a, meta.type(1.5) AS b, meta.type('x') AS c, meta.type([1]) AS d, meta.type({a: 1}) AS e, meta.type(true) AS f, meta.type(date('2020-01-02')) AS g", "SELECT 'INTEGER' AS a, 'FLOAT' AS b, 'STRING' AS c, 'LIST' AS d, 'MAP' AS e, 'BOOLEAN' AS f, 'DATE' AS g")
+_add("moments", "MATCH (e:Event) WITH e.event_id AS k, datetime({epochMillis: e.event_id * 86400000}) AS t RETURN k, t.epochMillis AS m, t.epochSeconds AS s, date({year: 2020, month: 2, day: 3}).day AS d, date('2021-05-06').month AS o, time('01:00:00+02:00').nanos AS n, time('01:00:00+02:00').offset_seconds AS z, timestamp() > t.epochMillis - 1000000000000000 AS now, rand() < 1.0 AS r",
+     "SELECT event_id AS k, CAST(event_id * 86400000 AS BIGINT) AS m, CAST(event_id * 86400 AS BIGINT) AS s, CAST(3 AS BIGINT) AS d, CAST(5 AS BIGINT) AS o, CAST(3600000000000 AS BIGINT) AS n, CAST(7200 AS BIGINT) AS z, true AS now, true AS r FROM events")
+_add("regex_groups", "MATCH (p:Part) RETURN p.p_partkey AS k, size(text.regexGroups(p.p_brand, '([0-9])')) AS n", "SELECT p_partkey AS k, len(regexp_extract_all(p_brand, '([0-9])')) AS n FROM part")
+_add("coll_least", "MATCH (n:Nation) RETURN n.n_nationkey AS k, coll.min([n.n_nationkey, 7, 9]) AS low, coll.max(n.n_nationkey, 3) AS high", "SELECT n_nationkey AS k, CAST(least(n_nationkey, 7) AS BIGINT) AS low, CAST(greatest(n_nationkey, 3) AS BIGINT) AS high FROM nation")
+_add("recent_nodes", "CALL recentNodes(5) YIELD node WITH node AS n RETURN count(n) AS n", "SELECT CAST(5 AS BIGINT) AS n")
+_add("recent_node_ids", "CALL recentNodeIds(7) YIELD nodeId WITH nodeId AS i RETURN count(DISTINCT i) AS n", "SELECT CAST(7 AS BIGINT) AS n")
+_add("help_functions", "CALL help.functions() YIELD name WITH name AS f WHERE f IN ['toUpper', 'idFrom', 'coll.max'] RETURN DISTINCT f", "SELECT f FROM (VALUES ('toUpper'), ('idFrom'), ('coll.max')) t(f)")
+_add("help_procedures", "CALL help.procedures() YIELD name WITH name AS p WHERE toLower(p) IN ['random.walk', 'cypher.doit'] RETURN toLower(p) AS p", "SELECT p FROM (VALUES ('random.walk'), ('cypher.doit')) t(p)")
+_add("indexes", "CALL db.indexes() YIELD name WITH name AS i WHERE i IN ['Nation', 'Part'] RETURN i", "SELECT i FROM (VALUES ('Nation'), ('Part')) t(i)")
+_add("index_hint", "MATCH (n:Nation) USING INDEX n:Nation(n_name) WHERE n.n_name STARTS WITH 'N' AND n.n_nationkey < 9 RETURN n.n_name AS name", "SELECT n_name AS name FROM nation WHERE starts_with(n_name, 'N') AND n_nationkey < 9")
+_add("shortest_path_pattern", "MATCH (s:Supplier {s_suppkey: 2}), (r:Region) MATCH p = shortestPath((s)-[*..4]->(r)) RETURN r.r_name AS region, length(p) AS hops", "SELECT r_name AS region, CAST(2 AS BIGINT) AS hops FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_suppkey = 2")
+_add("random_walk_procedure", "MATCH (n:Nation) CALL random.walk(n, 1) YIELD walk RETURN n.n_name AS name, size(walk) >= 1 AS some", "SELECT n_name AS name, true AS some FROM nation")
 _add("do_when", "UNWIND [1, 2] AS x CALL do.when(x = 1, 'RETURN 10 AS y', 'RETURN 20 AS y', {}) YIELD value RETURN x, castOrNull.integer(value.y) AS y", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(10 AS BIGINT)), (2, 20)) t(x, y)")
 _add("relationship_types", "CALL db.relationshipTypes() YIELD relationshipType RETURN relationshipType AS t", "SELECT * FROM (VALUES ('IN_REGION'), ('IN_NATION'), ('PLACED'), ('CONTAINS'), ('OF_PART'), ('FROM_SUPPLIER'), ('DID'), ('FROM_SOURCE')) x(t)")
 
@@ -236,9 +257,43 @@ WRITTEN = {
     "counters": ("MATCH (c:C) RETURN c.n AS n, c.m AS m, c.f AS f", ["CREATE (:C {k: 1, m: 10})", "MATCH (c:C) CALL incrementCounter(c, 'n', 5) YIELD count RETURN count", "MATCH (c:C) CALL int.add(c, 'm', 7) YIELD result RETURN result", "MATCH (c:C) CALL float.add(c, 'f', 1.5) YIELD result RETURN result"], "SELECT CAST(5 AS BIGINT) AS n, CAST(17 AS BIGINT) AS m, CAST(1.5 AS DOUBLE) AS f"),
     "create_procedures": ("MATCH (a:New)-[:REL]->(b) RETURN a.k AS a, b.v AS b", ["CREATE (:P {k: 1}), (:Q {k: 2})", "MATCH (a:P), (b:Q) CALL create.relationship(a, 'REL', {}, b) YIELD rel RETURN 1 AS one", "MATCH (b:Q) CALL create.setProperty(b, 'v', 9)", "MATCH (a:P) CALL create.setLabels(a, ['New'])"], "SELECT CAST(1 AS BIGINT) AS a, CAST(9 AS BIGINT) AS b"),
 }
+WRITTEN |= {
+    "set_procedures": ("MATCH (c:C) RETURN size(c.tags) AS n", ["CREATE (:C {k: 1})", "MATCH (c:C) CALL set.insert(c, 'tags', 'a') YIELD result RETURN result", "MATCH (c:C) CALL set.union(c, 'tags', ['a', 'b', 'c']) YIELD result RETURN result"], "SELECT CAST(3 AS BIGINT) AS n"),
+    "purge_node": ("MATCH (n) RETURN n.k AS k", ["CREATE (:A {k: 1})-[:R]->(:B {k: 2})", "MATCH (n:A) CALL purgeNode(n)"], "SELECT CAST(2 AS BIGINT) AS k"),
+    "delete_edge": ("MATCH (a:A) RETURN a.k AS k, size((a)-[:R]->()) AS n", ["CREATE (a:A {k: 1})-[:R]->(:B {k: 2}), (a)-[:R]->(:B {k: 3})", "MATCH (:A)-[r:R]->(b:B {k: 3}) DELETE r"], "SELECT CAST(1 AS BIGINT) AS k, CAST(1 AS BIGINT) AS n"),
+    "remove_property": ("MATCH (n:T) RETURN n.k AS k, n.v AS v", ["CREATE (:T {k: 1, v: 5}), (:T {k: 2, v: 6})", "MATCH (n:T {k: 1}) REMOVE n.v", "MATCH (n:T {k: 2}) SET n = {k: 9}"], "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(NULL AS BIGINT)), (9, NULL)) t(k, v)"),
+    "created_endpoints": ("MATCH ()-[r:R]->() RETURN startNode(r).k AS a, endNode(r).k AS b", ["CREATE (:A {k: 1})-[:R]->(:B {k: 2})"], "SELECT CAST(1 AS BIGINT) AS a, CAST(2 AS BIGINT) AS b"),
+}
 SQL |= {f"write_{k}": sql for k, (_, _, sql) in WRITTEN.items()}
 
 
+def load_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as CSV and as JSON lines, read by LOAD CSV and by loadJsonLines."""
+    import uuid
+
+    from weftgraph.session import shared_dir
+
+    at = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    nations.write.option("header", True).csv(f"{at}/csv")
+    nations.write.json(f"{at}/json")
+    e = Engine.retail(spark, sf_dir)
+    one = e.cypher(f"LOAD CSV WITH HEADERS FROM '{at}/csv' AS r RETURN toInteger(r.n_nationkey) AS k, r.n_name AS name, 'csv' AS kind")
+    two = e.cypher(f"CALL loadJsonLines('{at}/json') YIELD value RETURN castOrNull.integer(value.n_nationkey) AS k, castOrNull.string(value.n_name) AS name, 'json' AS kind")
+    return one.unionByName(two)
+
+
+SQL["load_files"] = "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, kind FROM nation, (VALUES ('csv'), ('json')) t(kind)"
+
+
+def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query with parameters."""
+    return Engine.retail(spark, sf_dir).cypher("MATCH (n:Nation) WHERE n.n_nationkey IN $keys AND n.n_name <> $name RETURN n.n_name AS name, $extra.a AS a", params={"keys": [1, 2, 3], "name": "none", "extra": {"a": 5}})
+
+
+SQL["parameters"] = "SELECT n_name AS name, CAST(5 AS BIGINT) AS a FROM nation WHERE n_nationkey IN (1, 2, 3)"
+
+
 def value_hash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and suppliers by key; as a hand-built plan, in which nulls would meet."""
     from weftgraph.operators import relational as R
@@ -268,6 +323,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{k: _cypher(v) for k, v in CYPHER.items()},
     **{k: (lambda spark, sf_dir, text=t: Engine.retail(spark, sf_dir).gremlin(text)) for k, (t, _) in GREMLIN.items()},
     **{f"write_{k}": _written(final, *steps) for k, (final, steps, _) in WRITTEN.items()},
+    "load_files": load_files,
+    "parameters": parameters,
     "value_hash_join": value_hash_join,
     "or_else": or_else,
     "random_walk_lengths": random_walk_lengths,
