@@ -185,3 +185,24 @@ statusQuery: {cypherQuery: "MATCH (n:N {hit: true}) RETURN n.a AS a ORDER BY a"}
     assert [r.a for r in status.collect()] == [1, 3]
     with pytest.raises(ValueError):
         recipes.load(text)
+
+
+def test_graph_after_batches_equals_the_whole_fold(spark, tmp_path):
+    """Late, repeated and removing batches; keys whose type stays, widens and is new; more batches than are kept apart."""
+    from weftgraph.streaming import events as E
+
+    g = EventGraph(spark, str(tmp_path / "log"))
+    e = Engine(spark, events=g)
+    texts = ["CREATE (:A {k: 1, v: 1})-[:R]->(:B {k: 2})", "CREATE (:A {k: 3, v: 5})", "MATCH (a:A {k: 1}) SET a.v = 7", "MATCH (a:A {k: 1})-[r:R]->(b) DELETE r", "MATCH (a:A {k: 3}), (b:B {k: 2}) CREATE (b)-[:R]->(a)"]
+    texts += ["MATCH (a:A {k: 3}) REMOVE a.v", "MATCH (a:A {k: 1}) SET a.v = 'text'", "MATCH (b:B) DETACH DELETE b", *[f"MATCH (a:A {{k: 3}}) SET a.v = {i}" for i in range(E.BATCHES + 2)]]
+    for text in texts:
+        e.cypher(text)
+        now, fresh = g.catalog(), E.State.whole(g.events()).graph()
+        cols = ["node_id", "labels", "k", "v"]
+        show = lambda df: sorted(map(str, df.selectExpr("node_id", "to_json(struct(labels, k, v)) AS j").collect()))
+        assert set(cols) <= set(now.vertices[0].df.columns) and show(now.vertices[0].df) == show(fresh.vertices[0].df), text
+        assert sorted(map(tuple, now.edges[0].df.collect())) == sorted(map(tuple, fresh.edges[0].df.collect())), text
+    assert g.cache[None, g.namespace].age > 0
+    late = g.events().where("key = 'v'").withColumn("ts_ms", F.lit(1)).withColumn("value", F.lit("99"))
+    g.append(late)
+    assert show(g.catalog().vertices[0].df) == show(E.State.whole(g.events()).graph().vertices[0].df)

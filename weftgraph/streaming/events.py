@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import time
 import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,13 @@ LABEL = "__LABEL"
 SET, REMOVED, ADDED, DROPPED = "PropertySet", "PropertyRemoved", "EdgeAdded", "EdgeRemoved"
 
 
+#: Kinds of events, the keys that name what they are about, and what they say.
+PROPERTY = ((SET, REMOVED), ["node_id", "key"], ["kind", "value"])
+EDGE = ((ADDED, DROPPED), ["node_id", "edge_type", "other"], ["kind"])
+#: Batches after which a state is written whole again, so that its plan stays short.
+BATCHES = 8
+
+
 class HistoryProblem(ValueError):
     """The past cannot be changed."""
 
@@ -32,7 +41,9 @@ class EventGraph:
     def __init__(self, spark: SparkSession, path: str, namespace: str = "default"):
         self.spark, self.path, self.namespace = spark, path, namespace
         self.last = 0
-        self.cache: dict = {}
+        self.cache: dict[tuple, State] = {}
+        #: Batches added since the latest state of a namespace was folded.
+        self.news: dict[str, list[DataFrame]] = {}
 
     def now(self) -> int:
         """A millisecond later than any given out before."""
@@ -53,28 +64,37 @@ class EventGraph:
     def append(self, events: DataFrame) -> None:
         """Add events; those that are in the batch twice are one, so a replayed batch of the same events changes nothing."""
         cols = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        events.select(*cols).dropDuplicates().write.partitionBy("ns").mode("append").parquet(self.path)
-        self.cache.clear()
+        batch = events.select(*cols).dropDuplicates()
+        latest = [ns for at_time, ns in self.cache if at_time is None]
+        if latest:
+            batch = settle(batch)
+        batch.write.partitionBy("ns").mode("append").parquet(self.path)
+        self.cache = {(None, ns): self.cache[None, ns] for ns in latest}
+        for ns in latest:
+            self.news.setdefault(ns, []).append(batch.where(F.col("ns") == ns))
 
     def properties(self, namespace: str | None = None, at_time: int | None = None) -> DataFrame:
         """(node_id, key, value): the latest value of each property that is there."""
-        e = self.events(namespace, at_time).where(F.col("kind").isin(SET, REMOVED))
-        last = e.groupBy("node_id", "key").agg(F.max_by(F.struct("kind", "value"), F.struct("ts_ms", "seq")).alias("x"))
-        return last.where((F.col("x.kind") == SET) & F.col("x.value").isNotNull()).select("node_id", "key", F.col("x.value").alias("value"))
+        return live_properties(latest(self.events(namespace, at_time), PROPERTY))
 
     def edges(self, namespace: str | None = None, at_time: int | None = None) -> DataFrame:
         """(src, type, dst): edges that are there."""
-        e = self.events(namespace, at_time).where(F.col("kind").isin(ADDED, DROPPED))
-        last = e.groupBy("node_id", "edge_type", "other").agg(F.max_by("kind", F.struct("ts_ms", "seq")).alias("kind"))
-        return last.where(F.col("kind") == ADDED).select(F.col("node_id").alias("src"), F.col("edge_type").alias("type"), F.col("other").alias("dst"))
+        return live_edges(latest(self.events(namespace, at_time), EDGE))
 
     def catalog(self, at_time: int | None = None, namespace: str | None = None) -> GraphCatalog:
-        """The graph at a time as one vertex table with a typed column per property, and one edge table."""
-        k = (at_time, namespace or self.namespace)
-        if k not in self.cache:
-            props, edges = settle(self.properties(namespace, at_time)), settle(self.edges(namespace, at_time))
-            self.cache[k] = fold(self.spark, props, edges)
-        return self.cache[k]
+        """The graph at a time as one vertex table with a typed column per property, and one edge table.
+
+        The log is folded once; of the latest graph only the nodes that later batches touch are folded again.
+        """
+        ns = namespace or self.namespace
+        k = (at_time, ns)
+        if k in self.cache and at_time is None and self.news.get(ns):
+            self.cache[k] = self.cache[k].after(reduce(DataFrame.unionByName, self.news[ns])) or State.whole(self.events(ns))
+        elif k not in self.cache:
+            self.cache[k] = State.whole(self.events(ns, at_time))
+        if at_time is None:
+            self.news.pop(ns, None)
+        return self.cache[k].graph()
 
     def purge(self, node_ids: list[str], namespace: str | None = None) -> None:
         """Erase nodes and their history: a log without them is written beside this one and takes its place.
@@ -95,6 +115,7 @@ class EventGraph:
             raise OSError(f"the log {self.path} could not be replaced; {fresh} and {self.path}.old hold it")
         fs.delete(old, True)
         self.cache.clear()
+        self.news.clear()
 
     def state_hash(self, namespace: str | None = None, at_time: int | None = None) -> int:
         """A digest of the state that does not depend on the order of rows."""
@@ -111,20 +132,88 @@ def _type_of(kinds: set[str]) -> T.DataType:
     return simple.get(next(iter(kinds)), T.VariantType()) if len(kinds) == 1 else T.VariantType()
 
 
-def fold(spark: SparkSession, props: DataFrame, edges: DataFrame) -> GraphCatalog:
-    """Typed tables from properties as JSON; keys with values of several types become variants."""
-    own = props.where(F.col("key") != LABEL)
-    # One row per property key reaches the driver: the schema.
-    kinds = {r.key: set(r.kinds) for r in own.groupBy("key").agg(F.collect_set(F.schema_of_variant(F.parse_json("value"))).alias("kinds")).collect()}
-    types = {k: _type_of(kinds[k]) for k in sorted(kinds)}
+def latest(events: DataFrame, by: tuple[tuple[str, ...], list[str], list[str]]) -> DataFrame:
+    """The last event, removals too, of each property or edge: its keys, what it says, and its place."""
+    kinds, keys, says = by
+    at = F.struct("ts_ms", "seq")
+    return events.where(F.col("kind").isin(*kinds)).groupBy(*keys).agg(F.max_by(F.struct(*says), at).alias("x"), F.max(at).alias("at")).select(*keys, "x.*", "at.*")
+
+
+def live_properties(last: DataFrame) -> DataFrame:
+    return last.where((F.col("kind") == SET) & F.col("value").isNotNull()).select("node_id", "key", "value")
+
+
+def live_edges(last: DataFrame) -> DataFrame:
+    return last.where(F.col("kind") == ADDED).select(F.col("node_id").alias("src"), F.col("edge_type").alias("type"), F.col("other").alias("dst"))
+
+
+def _kinds(props: DataFrame) -> dict[str, set[str]]:
+    """The types of each key's values: one row per property key reaches the driver, the schema."""
+    rows = props.where(F.col("key") != LABEL).groupBy("key").agg(F.collect_set(F.schema_of_variant(F.parse_json("value"))).alias("kinds"))
+    return {r.key: set(r.kinds) for r in rows.collect()}
+
+
+def _nodes(ids: DataFrame, props: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
+    """One row for each id with its labels and a typed column per key, from properties as JSON; mixed types are variants."""
     typed = []
     for k, t in types.items():
         v = F.parse_json(F.col(f"`k·{k}`"))
         typed.append((v if isinstance(t, T.VariantType) else F.variant_get(v, "$", t.simpleString())).alias(k))
     wide = props.groupBy("node_id").agg(F.max(F.when(F.col("key") == LABEL, F.col("value"))).alias("labels"), *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(f"k·{k}") for k in types])
-    ids = edges.select(F.col("src").alias("node_id")).unionByName(edges.select(F.col("dst").alias("node_id"))).unionByName(props.select("node_id")).distinct()
-    nodes = ids.join(wide, "node_id", "left").select(F.col("node_id"), F.coalesce(F.from_json("labels", "array<string>"), F.array().cast("array<string>")).alias("labels"), *typed)
-    g = GraphCatalog(spark)
-    g.vertices.append(VertexTable(None, settle(nodes), "node_id", list(types)))
-    g.edges.append(EdgeTable("*", None, None, edges, "src", "dst"))
-    return g
+    return ids.join(wide, "node_id", "left").select("node_id", F.coalesce(F.from_json("labels", "array<string>"), F.array().cast("array<string>")).alias("labels"), *typed)
+
+
+def _ids(props: DataFrame, edges: DataFrame) -> DataFrame:
+    ends = [edges.select(F.col(c).alias("node_id")) for c in ("src", "dst")]
+    return reduce(DataFrame.unionByName, ends, props.select("node_id"))
+
+
+@dataclass
+class State:
+    """A folded graph: the last event of each property and edge, the node rows, and the types seen of each key."""
+
+    props: DataFrame
+    links: DataFrame
+    nodes: DataFrame
+    kinds: dict[str, set[str]]
+    age: int = 0
+
+    @property
+    def types(self) -> dict[str, T.DataType]:
+        return {k: _type_of(self.kinds[k]) for k in sorted(self.kinds)}
+
+    @classmethod
+    def whole(cls, events: DataFrame) -> State:
+        out = cls(settle(latest(events, PROPERTY)), settle(latest(events, EDGE)), events, {})
+        props = live_properties(out.props)
+        out.kinds = _kinds(props)
+        out.nodes = settle(_nodes(_ids(props, live_edges(out.links)).distinct(), props, out.types))
+        return out
+
+    def after(self, batch: DataFrame) -> State | None:
+        """The state with a batch added: rows of untouched nodes stay as they are. None if a property's type may change.
+
+        Types only widen until the log is folded whole again.
+        """
+        seen = _kinds(batch.where(F.col("kind") == SET))
+        kinds = {k: self.kinds.get(k, set()) | seen.get(k, set()) for k in {*self.kinds, *seen}}
+        if any(k not in self.kinds or _type_of(v) != _type_of(self.kinds[k]) for k, v in kinds.items()):
+            return None
+        touched = settle(batch.select(F.explode(F.array("node_id", "other")).alias("node_id")).where("node_id is not null").distinct())
+        mine = lambda df, how: df.join(touched, "node_id", how)
+        cols = lambda by: [*by[1], *by[2], "ts_ms", "seq"]
+        props = settle(latest(mine(self.props, "left_semi").unionByName(batch.select(cols(PROPERTY)).where(F.col("kind").isin(*PROPERTY[0]))), PROPERTY))
+        links = settle(latest(mine(self.links, "left_semi").unionByName(batch.select(cols(EDGE)).where(F.col("kind").isin(*EDGE[0]))), EDGE))
+        out = State(mine(self.props, "left_anti").unionByName(props), mine(self.links, "left_anti").unionByName(links), self.nodes, kinds, self.age + 1)
+        ids = mine(_ids(live_properties(props), live_edges(out.links)), "left_semi").distinct()
+        rows = settle(_nodes(ids, live_properties(props), self.types))
+        out.nodes = mine(self.nodes, "left_anti").unionByName(rows)
+        if out.age >= BATCHES:
+            out = State(settle(out.props), settle(out.links), settle(out.nodes), out.kinds)
+        return out
+
+    def graph(self) -> GraphCatalog:
+        g = GraphCatalog(self.nodes.sparkSession)
+        g.vertices.append(VertexTable(None, self.nodes, "node_id", list(self.types)))
+        g.edges.append(EdgeTable("*", None, None, live_edges(self.links), "src", "dst"))
+        return g

@@ -18,6 +18,7 @@ from weftgraph.engine import Engine, parsed
 from weftgraph.plans import ast as A
 from weftgraph.plans.compiler import Compiler, children
 from weftgraph.session import settle
+from weftgraph.streaming.events import BATCHES
 
 ROOT = "·root"
 
@@ -104,6 +105,7 @@ class StandingQuery:
         r.items = [*r.items, (A.Call("id", (A.Var(self.root),)), ROOT)]
         self.query = q
         self.results = settle(self.evaluate()) if propagate else None
+        self.batches = 0
         engine.standing[name] = self
 
     def evaluate(self, roots: DataFrame | None = None) -> DataFrame:
@@ -118,14 +120,12 @@ class StandingQuery:
     def affected(self, batch: DataFrame) -> DataFrame:
         """Roots within the pattern's reach of what the events touch, over edges there are and edges just dropped."""
         touched = batch.select(F.explode(F.array("node_id", "other")).alias("id")).where("id is not null").distinct()
-        edges = self.engine.events.edges().select("src", "dst").unionByName(batch.where("other is not null").select(F.col("node_id").alias("src"), F.col("other").alias("dst")))
-        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        if self.reach:
-            both = settle(both)
-        out = now = settle(touched)
+        dropped = batch.where("other is not null").select(F.col("node_id").alias("src"), F.col("other").alias("dst"))
+        out = settle(touched)
+        edges = self.engine.graph().edges[0].df.select("src", "dst").unionByName(dropped)
         for _ in range(self.reach):
-            now = now.join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-            out = settle(out.unionByName(now).distinct())
+            ways = [edges.join(out, F.col("id") == F.col(a)).select(F.col(b).alias("id")) for a, b in (("src", "dst"), ("dst", "src"))]
+            out = settle(out.unionByName(ways[0]).unionByName(ways[1]).distinct())
         return out
 
     def process(self, batch: DataFrame, append: bool = True) -> DataFrame:
@@ -149,7 +149,9 @@ class StandingQuery:
             signed = signed.unionByName(minus.withColumn("_sign", F.lit(False)))
         data = [c for c in new.columns if c != ROOT]
         out = settle(signed.select(F.struct(*[F.col(f"`{c}`") for c in data]).alias("data"), F.struct(F.col("_sign").alias("isPositiveMatch")).alias("meta")))
-        self.results = settle(self.results.join(near, mine, "left_anti").unionByName(new))
+        self.results, self.batches = self.results.join(near, mine, "left_anti").unionByName(new), self.batches + 1
+        if self.batches % BATCHES == 0:  # its plan stays short
+            self.results = settle(self.results)
         for o in self.outputs:
             o(out)
         return out
