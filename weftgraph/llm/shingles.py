@@ -18,7 +18,7 @@ the first n - ceil(t n) + 2), where that makes fewer of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -162,8 +162,8 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return top["h"].to_numpy(), top["n"].to_numpy()
 
 
-def sets(docs: DataFrame, keep: list[str], words: int, similarity: float | None = None) -> DataFrame:
-    """keep columns and `_fp`, the id of the text's set; with a similarity also its size `_n`, the long `_prefix` and the bitmap `_bits`."""
+def sets(docs: DataFrame, keep: list[str], words: int, similarity: float | None = None, also: tuple[str, Callable[[list], pa.Array]] | None = None) -> DataFrame:
+    """keep columns and `_fp`, the id of the text's set; with a similarity also its size `_n`, the long `_prefix` and the bitmap `_bits`, and a column `also` of the texts."""
     if similarity is None:
         return map_texts(docs, keep, "text", "_fp bigint", lambda texts: [pa.array([set_id(h) for h in hashes(texts, words)], pa.int64())], as_bytes=True)
     common, counts = _common(docs, words)
@@ -174,9 +174,11 @@ def sets(docs: DataFrame, keep: list[str], words: int, similarity: float | None
         return [
             pa.array([set_id(x) for x in h], pa.int64()), pa.array([len(x) for x in h], pa.int32()),
             pa.array([prefix(x, similarity, common, counts) for x in h], longs), pa.array([parity(x) for x in h], longs),
+            *([also[1](texts)] if also else []),
         ]
 
-    return map_texts(docs, keep, "text", "_fp bigint, _n int, _prefix array<bigint>, _bits array<bigint>", run, as_bytes=True)
+    schema = "_fp bigint, _n int, _prefix array<bigint>, _bits array<bigint>"
+    return map_texts(docs, keep, "text", f"{schema}, {also[0]}" if also else schema, run, as_bytes=True)
 
 
 def _least_common(n: Column, similarity: float) -> Column:
@@ -256,6 +258,12 @@ def _likely(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFra
     return cut(both.where(~_apart(F.col("x"), F.col("y"), F.col("m"), F.col("n"), similarity)).select("a", "b"))
 
 
+def _open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    both = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    return cut(both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+
+
 def _parts(rows: DataFrame, by: list[str]) -> DataFrame:
     """For keys whose rows are of several components: the largest one (`main`) and the work of comparing the others' rows with all."""
     parts = rows.groupBy(*by, "root").agg(F.count("*").alias("n")).groupBy(*by).agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("rows"))
@@ -296,15 +304,21 @@ def _across(met: DataFrame, roots: DataFrame, distinct: DataFrame, similarity: f
     return out
 
 
-def links(distinct: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def links(distinct: DataFrame, docs: DataFrame, words: int, similarity: float, first: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of sets with the similarity.
 
-    distinct has each set once, as of sets(), with the id `_least` of a text of docs (doc_id, text) that it is of.
+    distinct has each set once, as of sets(), with the id `_least` of a text of docs (doc_id, text) that it is of. Pairs
+    `first` (a, b), found another way, are verified before any other; then only what they leave open is looked for.
     """
+    near = None
+    if first is not None:
+        near = _verified(_likely(first, distinct, similarity), distinct, docs, words, similarity)
+        roots = cut(components(near))
     keys = F.slice("_prefix", F.lit(1), F.col("_n") - _least_common(F.col("_n"), similarity) + 1)
     met = cut(_met(distinct.where("_n > 0").select("_fp", F.posexplode(keys).alias("pos", "key"))))
-    near = _likely(met.where("_fp <> lead").select(F.col("lead").alias("a"), F.col("_fp").alias("b")), distinct, similarity)
-    near = _verified(near, distinct, docs, words, similarity)
+    stars = _likely(met.where("_fp <> lead").select(F.col("lead").alias("a"), F.col("_fp").alias("b")), distinct, similarity)
+    stars = _verified(stars if near is None else _open(stars, roots), distinct, docs, words, similarity)
+    near = stars if near is None else near.unionByName(stars)
     roots = cut(components(near))
     far = _verified(_across(met, roots, distinct, similarity), distinct, docs, words, similarity)
     drop_cut(met)

@@ -13,6 +13,14 @@ until no bucket is large (k + 1 bits or fewer left over hold few fingerprints by
 themselves). No link is lost to it and no bucket's pairs grow with the square of
 a group of copies.
 
+With a similarity (keep_one), the fingerprints' reach is wide and the pairs they
+find are verified on whole sets of shingles. There the ball is dealt to both
+sides: each fingerprint stands in the table under all values of a ball of half
+the radius, and each row of a bucket is linked with the closest one before it.
+What no reach bounds, pairs of that similarity whose fingerprints lie further
+apart, is found by an exact pass (shingles.links) between the components that
+the fingerprints leave open.
+
 Defined cases: null text counts as empty; an empty text has fingerprint zero
 and links like any other; repeated rows link with each other; a null doc_id
 takes part, but is never a component's name unless all its members lack one.
@@ -20,7 +28,7 @@ takes part, but is never a component's name unless all its members lack one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -54,13 +62,14 @@ def fingerprint(raw: bytes | None, words: int = 3) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def _longs(texts: list[bytes | None], words: int) -> pa.Array:
+    return pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, keep: list[str], words: int = 3) -> DataFrame:
     """keep columns and `_fp`, the fingerprint's 64 bits as a long."""
 
-    def run(texts: list) -> list[pa.Array]:
-        return [pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))]
-
-    return map_texts(docs, keep, "text", "_fp bigint", run, as_bytes=True)
+    return map_texts(docs, keep, "text", "_fp bigint", lambda texts: [_longs(texts, words)], as_bytes=True)
 
 
 def cuts(bits: list[int], parts: int) -> list[list[int]]:
@@ -111,6 +120,65 @@ def links(distinct: DataFrame, segments: int = 3, reach: int = 2, bucket: int =
         plan = next_plan
 
 
+def closest(distinct: DataFrame, segments: int = 4, reach: int = 11, rows: int = 4096) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct fingerprints `_fp`: each with the closest one before it in every bucket, if that is within reach.
+
+    Two within reach meet in a bucket: they differ by at most reach // segments bits in one segment, and both stand under
+    the values of a ball of half that radius. A row is compared with at most so many rows before it; so neither the work
+    nor the pairs of a bucket grow with its square.
+    """
+    half = (reach // segments + 1) // 2
+    # A segment's number stands above its value, which has 32 bits at most if there are several.
+    value = lambda bits, flip: F.shiftrightunsigned(F.col("_fp").bitwiseAND(F.lit(_mask(bits))).bitwiseXOR(F.lit(flip)), bits[0])
+    values = [value(bits, f).bitwiseOR(F.lit(i << 32)) for i, (bits, ball) in enumerate(keys(segments, half * segments)) for f in ball]
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out evenly before the rows multiply.
+    entries = distinct.select("_fp").repartition(parts, "_fp").select(F.explode(F.array(*values)).alias("v"), "_fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)  # the last bucket's rows so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = len(v)
+            v, fp = (np.concatenate([x, batch.column(i).to_numpy().view(x.dtype)]) for i, x in enumerate((v, fp)))
+            at = np.arange(len(v))
+            start = np.maximum.accumulate(np.where(np.r_[True, v[1:] != v[:-1]], at, 0))
+            back = np.minimum(at - start, rows)
+            back[:held] = 0
+            best, mate = np.full(len(v), reach + 1, np.uint8), np.zeros(len(v), np.uint64)
+            some = np.flatnonzero(back)
+            d = 1
+            while len(some):
+                if 2 * len(some) > len(v) - d:
+                    apart = np.bitwise_count(fp[d:] ^ fp[:-d])
+                    to = np.flatnonzero((apart < best[d:]) & (back[d:] >= d))
+                    best[to + d], mate[to + d] = apart[to], fp[to]
+                else:
+                    apart = np.bitwise_count(fp[some] ^ fp[some - d])
+                    to = apart < best[some]
+                    best[some[to]], mate[some[to]] = apart[to], fp[some[to] - d]
+                d += 1
+                some = some[back[some] >= d]
+            met = best <= reach
+            a, b = fp[met].view(np.int64), mate[met].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            keep = max(int(start[-1]), len(v) - rows)
+            v, fp = v[keep:], fp[keep:]
+
+    dealt = entries.repartition("v").sortWithinPartitions("v", "_fp")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def alike(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the sets `_fp` that are not empty, by their fingerprints `_print`: one set stands for those of the same fingerprint."""
+    some = distinct.where("_n > 0").select("_fp", "_print")
+    leads = cut(some.groupBy("_print").agg(F.min("_fp").alias("lead")))
+    pairs = closest(leads.select(F.col("_print").alias("_fp")))
+    pairs = pairs.toDF("x", "y").join(leads.toDF("x", "a"), "x").join(leads.toDF("y", "b"), "y").select("a", "b")
+    return pairs.unionByName(some.join(leads, "_print").where("_fp <> lead").select(F.col("lead").alias("a"), F.col("_fp").alias("b")))
+
+
 def groups(prints: DataFrame, edges: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(_fp, component_id) for the rows (doc_id, _fp, ...), by edges, or else links(): exact copies are one fingerprint before any pair is formed."""
     more = [c for c in prints.columns if c not in ("doc_id", "_fp")]
@@ -131,15 +199,16 @@ def near_groups(docs: DataFrame, words: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id (of a repeated id, one row for each fingerprint).
 
-    With a similarity the groups join all texts whose sets of shingles have that Jaccard similarity, and the id of a set stands for the fingerprint.
+    With a similarity the groups join all texts whose sets of shingles have that Jaccard similarity: those that their fingerprints
+    find first, then those of the components left open. Texts of one set of shingles are one row, with the set's id as `_fp`.
     """
     texts = docs.select("doc_id", "text")
     if similarity is None:
         prints = cut(fingerprints(texts, ["doc_id"], words))
         named = cut(groups(prints))
     else:
-        prints = cut(shingles.sets(texts, ["doc_id"], words, similarity))
-        named = cut(groups(prints, lambda distinct: shingles.links(distinct, texts, words, similarity)))
+        prints = cut(shingles.sets(texts, ["doc_id"], words, similarity, ("_print bigint", lambda t: _longs(t, words))))
+        named = cut(groups(prints, lambda distinct: shingles.links(distinct, texts, words, similarity, alike(distinct))))
     kept = prints.select("doc_id", "_fp").join(named, "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = cut(kept.groupBy("doc_id").agg(F.count("*").alias("_n")))
     # The same plan at every size: ids are hashed partition by partition, texts are moved once and not sorted.
