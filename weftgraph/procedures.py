@@ -187,19 +187,25 @@ def random_walks(edges: DataFrame, start: DataFrame, length: int = 10, back: flo
     """(id, n, walk) for start (id, n): second-order walks along edges (from, to), in either direction.
 
     Each step draws among the neighbours with weight 1/back for the node before, 1 for its neighbours, 1/far for
-    others: the neighbour with the least -ln(u) / weight, u from a hash of start, seed, step and neighbour.
+    others: the neighbour with the least -ln(u) / weight, u from a hash of start, seed, step and neighbour. An edge
+    met twice draws the same u, so edges need no distinct; only those at the walks' own ends are joined, none is stored.
     """
-    both = settle(edges.select("from", "to").unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct())
-    now = start.select("id", "n", F.col("id").alias("at"), F.lit(None).cast("string").alias("before"), F.array("id").alias("walk"))
+    ends = F.array(F.struct(F.col("from").alias("b"), F.col("to").alias("t")), F.struct(F.col("to").alias("b"), F.col("from").alias("t")))
+    both = edges.select(F.explode(ends).alias("e")).select("e.*")
+    now = start.select("id", "n").distinct().select("id", "n", F.col("id").alias("at"), F.lit(None).cast("string").alias("before"), F.array("id").alias("walk"))
     done = None
     for step in range(length):
         now = settle(now)
-        near = both.select(F.col("from").alias("b"), F.col("to").alias("t"), F.lit(True).alias("near"))
-        j = now.join(both, now["at"] == both["from"], "left")
-        j = j.join(near, (F.col("before") == F.col("b")) & (F.col("to") == F.col("t")), "left")
-        weight = F.when(F.col("to") == F.col("before"), 1.0 / back).when(F.col("near") | F.col("before").isNull(), 1.0).otherwise(1.0 / far)
-        u = (F.pmod(F.xxhash64(F.col("id"), F.col("n"), F.lit(seed), F.lit(step), F.col("to")), F.lit(2**52)) + 1) / float(2**52 + 1)
-        now = j.groupBy("id", "n", "at", "walk").agg(F.min_by("to", F.struct((-F.ln(u) / weight).alias("w"), F.col("to"))).alias("next"))
+        j = now.select("id", "n", "at", "before").join(both, F.col("at") == F.col("b")).select("id", "n", "before", "t")
+        weight = F.when(F.col("t") == F.col("before"), 1.0 / back).otherwise(1.0 / far)
+        if step and far != 1.0:  # only then do neighbours of the node before count otherwise than others
+            near = now.select("before").distinct().join(both, F.col("before") == F.col("b")).select("b", F.col("t").alias("near")).distinct()
+            j = j.join(near, (F.col("before") == F.col("b")) & (F.col("t") == F.col("near")), "left")
+            weight = F.when(F.col("t") == F.col("before"), 1.0 / back).when(F.col("near").isNotNull(), 1.0).otherwise(1.0 / far)
+        u = (F.pmod(F.xxhash64(F.col("id"), F.col("n"), F.lit(seed), F.lit(step), F.col("t")), F.lit(2**52)) + 1) / float(2**52 + 1)
+        key = F.struct((-F.ln(u) / (weight if step else F.lit(1.0))).alias("w"), F.col("t"))
+        drawn = j.where("t is not null").groupBy("id", "n").agg(F.min(key)["t"].alias("next"))
+        now = settle(now.join(drawn, ["id", "n"], "left"))
         stuck = now.where("next is null").select("id", "n", "walk")
         done = stuck if done is None else done.unionByName(stuck)
         now = now.where("next is not null").select("id", "n", F.col("next").alias("at"), F.col("at").alias("before"), F.concat("walk", F.array("next")).alias("walk"))
