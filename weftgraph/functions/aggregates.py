@@ -1,4 +1,4 @@
-"""Aggregates of the query language; all but percentiles and collect combine before the shuffle."""
+"""Aggregates of the query language; all but collect combine before the shuffle."""
 
 from __future__ import annotations
 
@@ -32,22 +32,6 @@ def _stdev(v: Val, distinct: bool, sample: bool) -> Val:
     return Val(F.coalesce(F.when(F.count(x) > 1, F.stddev_samp(x)) if sample else F.stddev_pop(x), F.lit(0.0)), DOUBLE)
 
 
-def _percentile(args: list[Val], discrete: bool) -> Val:
-    """Constant fractions of percentileCont: Spark's own. Else of ranked rows (value, fraction, place from 0, values in the group).
-
-    The fraction of the first row counts. Discrete: the element at round(p * (n - 1)), from 0.
-    """
-    v, p = args[:2]
-    if len(args) == 2:
-        return Val(F.call_function("percentile", v.col.cast("double"), p.col), DOUBLE)
-    at, last = args[2].col, args[3].col - 1
-    if discrete:
-        return Val(F.first(F.when(at == F.floor(p.col * last + 0.5), v.col), ignorenulls=True), v.type)
-    place = F.least(F.greatest(p.col.cast("double"), F.lit(0.0)), F.lit(1.0)) * last
-    low, high = (F.max(F.when(at == f(place), v.col.cast("double"))) for f in (F.floor, F.ceil))
-    return Val(low + F.max(place - F.floor(place)) * (high - low), DOUBLE)
-
-
 def aggregate(name: str, args: list[Val], distinct: bool, star: bool) -> Val:
     name = name.lower()
     if star:
@@ -76,7 +60,8 @@ def aggregate(name: str, args: list[Val], distinct: bool, star: bool) -> Val:
         return Val((F.min if name == "min" else F.max)(v.col), v.type)
     if name in ("stdev", "stdevp"):
         return _stdev(v, distinct, name == "stdev")
-    return _percentile(args, name == "percentiledisc")
+    # Percentiles are taken by rank, see operators.percentiles; Spark's own is left to say what is wrong with a fraction.
+    return Val(F.call_function("percentile", v.col.cast("double"), args[1].col), DOUBLE)
 
 
 def _key(v: Val) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 import dataclasses
 import itertools
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +21,7 @@ from weftgraph.catalog import EdgeTable, GraphCatalog, VertexTable
 from weftgraph.functions import aggregates, scalar, temporal
 from weftgraph.functions import values as V
 from weftgraph.functions.values import BOOL, DOUBLE, LONG, PATH, REL, STRING, Val
+from weftgraph.operators.percentiles import percentiles
 from weftgraph.plans import ast as A
 from weftgraph.session import settle
 
@@ -884,7 +887,12 @@ class Compiler:
                     keys[name] = x.col
                 new_scope[n] = ValueVar(name, x.type)
 
-        fixed = lambda x: all(isinstance(y, (A.Lit, A.Param)) for y in x.args[1:])
+        def by_rank(x) -> bool:
+            """Percentiles but percentileCont of a constant that is no fraction, which Spark's own refuses."""
+            if not x.name.lower().startswith("percentile"):
+                return False
+            p = self.constant(x.args[1]) if isinstance(x.args[1], (A.Lit, A.Param)) and not (isinstance(x.args[1], A.Param) and x.args[1].name in self.scope) else 0
+            return x.name.lower() == "percentiledisc" or isinstance(p, (int, float)) and 0 <= p <= 1
 
         def swap(x):
             if isinstance(x, A.Call) and x.name.lower() in aggregates.NAMES:
@@ -893,11 +901,13 @@ class Compiler:
                     node = self.scope.get(x.args[0].name) if x.args and isinstance(x.args[0], A.Var) and x.name.lower() == "count" else None
                     # A node counts by its id; its properties are not read for that.
                     args = [Val(node.col("id"), STRING)] if isinstance(node, NodeVar) else [self.ev(self.prepared(y)) for y in x.args]
-                    if x.name.lower().startswith("percentile") and not (x.name.lower() == "percentilecont" and fixed(x)):
-                        ranked[name] = args
-                        args = [Val(F.col(f"`{name}·v`"), args[0].type), Val(F.col(f"`{name}·p`"), args[1].type), Val(F.col(f"`{name}·at`"), LONG), Val(F.col(f"`{name}·n`"), LONG)]
-                    v = aggregates.aggregate(x.name, args, x.distinct, x.star)
-                    aggs[name] = v.col.alias(name)
+                    if by_rank(x):
+                        discrete = x.name.lower() == "percentiledisc"
+                        ranked[name] = (*args[:2], discrete)
+                        v = Val(F.col(f"`{name}`"), args[0].type if discrete else DOUBLE)
+                    else:
+                        v = aggregates.aggregate(x.name, args, x.distinct, x.star)
+                        aggs[name] = v.col.alias(name)
                     none[name] = F.lit(0) if x.name.lower() in ("count", "sum", "stdev", "stdevp") and not isinstance(v.type, T.DayTimeIntervalType) else F.array().cast(v.type) if x.name.lower() == "collect" else None
                     found[repr(x)] = name
                     new_scope[name] = ValueVar(name, v.type)
@@ -908,12 +918,17 @@ class Compiler:
         out = [(A.Var(n) if not has_aggregate(e) else replace(e, swap), n) for e, n in items]
         aliases = {n for _, n in items}
         sorts = [(e if isinstance(e, A.Var) and e.name in aliases else replace(e, swap), up) for e, up in order]
-        for name, (value, share) in ranked.items():
-            # Rows are ranked within their group by a sort, which spills, instead of in one list.
-            group = W.partitionBy(*([F.col(self.row)] if self.row else []), *keys.values())
-            self.df = self.df.withColumns({f"{name}·v": value.col, f"{name}·p": F.first(share.col).over(group), f"{name}·n": F.count(value.col).over(group), f"{name}·at": F.row_number().over(group.orderBy(*V.sort_keys(value, True))).cast("long") - 1})
         by = ([F.col(self.row)] if self.row else []) + [c.alias(k) for k, c in keys.items()]
-        self.df = self.df.groupBy(*by).agg(*aggs.values(), *first.values()) if aggs or first else self.df.select(*by).distinct()
+        if ranked and not self.df._jdf.queryExecution().analyzed().deterministic():
+            self.df = settle(self.df)  # it is read for each percentile
+        placed = [percentiles(self.df.select(*by, value.col.alias("value"), share.col.alias("share")), value, name, discrete) for name, (value, share, discrete) in ranked.items()]
+        on = ([self.row] if self.row else []) + list(keys)
+        self.df = self.df.groupBy(*by).agg(*aggs.values(), *first.values()) if aggs or first else self.df.select(*by).distinct() if by or not ranked else self.df.groupBy().agg(F.count(F.lit(1)).alias(fresh("n")))
+        for p in placed:
+            other = [fresh("by") for _ in on]
+            p = p.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(on, other)], *[c for c in p.columns if c not in on])
+            same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`{o}`")) for k, o in zip(on, other)]
+            self.df = self.df.join(p, reduce(and_, same) if same else F.lit(True), "left").drop(*other)
         if self.row and self.row_ids is not None and not keys:  # an outer row without inner rows still has its aggregates
             self.df = self.row_ids.join(self.df, self.row, "left").withColumns({k: F.coalesce(F.col(f"`{k}`"), c.cast(new_scope[k].type)) for k, c in none.items() if c is not None})
         self.scope = new_scope
