@@ -11,6 +11,7 @@ import time
 import uuid
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,30 +57,39 @@ class EventGraph:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def events(self, namespace: str | None = None, at_time: int | None = None) -> DataFrame:
+        """The events; those that were added twice, as by a replayed batch, are one."""
+        return self.log(namespace, at_time).dropDuplicates()
+
+    def log(self, namespace: str | None = None, at_time: int | None = None) -> DataFrame:
+        """The rows of the log as written. An event that is there twice changes no state."""
         if not self.exists():
             return self.spark.createDataFrame([], SCHEMA)
         out = self.spark.read.schema(SCHEMA).parquet(self.path).where(F.col("ns") == (namespace or self.namespace))
         return out if at_time is None else out.where(F.col("ts_ms") <= at_time)
 
     def append(self, events: DataFrame) -> None:
-        """Add events; those that are in the batch twice are one, so a replayed batch of the same events changes nothing."""
+        """Add events. The latest states read them from the log's new files, so they are written once."""
         cols = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        batch = events.select(*cols).dropDuplicates()
         latest = [ns for at_time, ns in self.cache if at_time is None]
-        if latest:
-            batch = settle(batch)
-        batch.write.partitionBy("ns").mode("append").parquet(self.path)
+        had = self.files() if latest else set()
+        events.select(*cols).write.partitionBy("ns").mode("append").option("compression", "zstd").parquet(self.path)
         self.cache = {(None, ns): self.cache[None, ns] for ns in latest}
-        for ns in latest:
-            self.news.setdefault(ns, []).append(batch.where(F.col("ns") == ns))
+        new = sorted(self.files() - had) if latest else []
+        if new:
+            batch = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*new)
+            for ns in latest:
+                self.news.setdefault(ns, []).append(batch.where(F.col("ns") == ns))
+
+    def files(self) -> set[str]:
+        return {unquote(f) for f in self.spark.read.schema(SCHEMA).parquet(self.path).inputFiles()} if self.exists() else set()
 
     def properties(self, namespace: str | None = None, at_time: int | None = None) -> DataFrame:
         """(node_id, key, value): the latest value of each property that is there."""
-        return live_properties(latest(self.events(namespace, at_time), PROPERTY))
+        return live_properties(latest(self.log(namespace, at_time), PROPERTY))
 
     def edges(self, namespace: str | None = None, at_time: int | None = None) -> DataFrame:
         """(src, type, dst): edges that are there."""
-        return live_edges(latest(self.events(namespace, at_time), EDGE))
+        return live_edges(latest(self.log(namespace, at_time), EDGE))
 
     def catalog(self, at_time: int | None = None, namespace: str | None = None) -> GraphCatalog:
         """The graph at a time as one vertex table with a typed column per property, and one edge table.
@@ -89,9 +99,9 @@ class EventGraph:
         ns = namespace or self.namespace
         k = (at_time, ns)
         if k in self.cache and at_time is None and self.news.get(ns):
-            self.cache[k] = self.cache[k].after(reduce(DataFrame.unionByName, self.news[ns])) or State.whole(self.events(ns))
+            self.cache[k] = self.cache[k].after(reduce(DataFrame.unionByName, self.news[ns])) or State.whole(self.log(ns))
         elif k not in self.cache:
-            self.cache[k] = State.whole(self.events(ns, at_time))
+            self.cache[k] = State.whole(self.log(ns, at_time))
         if at_time is None:
             self.news.pop(ns, None)
         return self.cache[k].graph()

@@ -52,7 +52,9 @@ class Ingest:
 
             from weftgraph.session import settle
 
-            batch = settle(reduce(DataFrame.unionByName, writer.batches))
+            batch = reduce(DataFrame.unionByName, writer.batches)
+            if self.standing:
+                batch = settle(batch)
             self.engine.events.append(batch)
             for q in self.standing:
                 q.process(batch, append=False)
