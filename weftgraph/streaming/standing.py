@@ -93,6 +93,42 @@ def steps(e: A.PatternExpr) -> int:
     return out
 
 
+def ways_from(root: str, m: A.Match, items: list) -> dict[str, list[tuple]] | None:
+    """For each node of the pattern, seen from its root, the steps to its children: (types, direction, child).
+
+    A pattern in WHERE or RETURN hangs on the node it starts at. None if it starts at no node of MATCH, or has a
+    variable length: then the way back to the root is not known.
+    """
+    near: dict[str, list[tuple]] = {}
+    flip = {"out": "in", "in": "out", "both": "both"}
+    for p in m.patterns:
+        names = [x.var or f"anon{id(x)}" for x in p.parts[::2]]
+        for a, rel, b in zip(names, p.parts[1::2], names[1:]):
+            near.setdefault(a, []).append((tuple(rel.types), rel.direction, b))
+            near.setdefault(b, []).append((tuple(rel.types), flip[rel.direction], a))
+        near.setdefault(names[0], [])
+    tree: dict[str, list[tuple]] = {}
+    todo = [(root, None)]
+    while todo:
+        v, parent = todo.pop()
+        tree[v] = [(types, d, c) for types, d, c in near[v] if c != parent]
+        todo += [(c, v) for _, _, c in tree[v]]
+    inside = [p for x in (m.where, *(e for e, _ in items)) for p in patterns_in(x)]
+    if sum(len(patterns_in(p)) for p in inside) != len(inside):
+        return None  # one within another
+    for e in inside:
+        parts = e.pattern.parts
+        if not isinstance(parts[0], A.NodePattern) or parts[0].var not in tree or any(isinstance(x, A.RelPattern) and x.variable for x in parts):
+            return None
+        at = parts[0].var
+        for i, rel in enumerate(parts[1::2]):
+            child = f"{id(e)}·{i}"
+            tree[at].append((tuple(rel.types), rel.direction, child))
+            tree[child] = []
+            at = child
+    return tree
+
+
 class StandingQuery:
     def __init__(self, engine: Engine, name: str, text: str, mode: str = "MultipleValues", cancellations: bool = True, outputs: list | None = None, propagate: bool = True):
         self.engine, self.name, self.cancellations, self.outputs = engine, name, cancellations, outputs or []
@@ -102,6 +138,7 @@ class StandingQuery:
         # A pattern in WHERE or RETURN can change a match as well: its steps reach beyond the nodes of MATCH.
         beyond = max((steps(p) for x in (m.where, *(e for e, _ in r.items)) for p in patterns_in(x)), default=0)
         self.reach = sum(isinstance(x, A.RelPattern) for p in m.patterns for x in p.parts) + beyond
+        self.ways = ways_from(self.root, m, r.items)
         r.items = [*r.items, (A.Call("id", (A.Var(self.root),)), ROOT)]
         self.query = q
         self.results = settle(self.evaluate()) if propagate else None
@@ -120,14 +157,33 @@ class StandingQuery:
     def affected(self, batch: DataFrame) -> DataFrame:
         """Roots within the pattern's reach of what the events touch, over edges there are and edges just dropped."""
         touched = batch.select(F.explode(F.array("node_id", "other")).alias("id")).where("id is not null").distinct()
-        dropped = batch.where("other is not null").select(F.col("node_id").alias("src"), F.col("other").alias("dst"))
+        dropped = batch.where("other is not null").select(F.col("node_id").alias("src"), F.col("edge_type").alias("type"), F.col("other").alias("dst"))
         out = settle(touched)
-        edges = self.engine.graph().edges[0].df.select("src", "dst").unionByName(dropped)
+        edges = self.engine.graph().edges[0].df.select("src", "type", "dst").unionByName(dropped)
+        if self.ways is not None:
+            return self.back(self.root, out, edges, {})[1]
         for _ in range(self.reach):
             ways = [edges.join(out, F.col("id") == F.col(a)).select(F.col(b).alias("id")) for a, b in (("src", "dst"), ("dst", "src"))]
             out = settle(out.unionByName(ways[0]).unionByName(ways[1]).distinct())
         return out
 
+    def back(self, node: str, touched: DataFrame, edges: DataFrame, seen: dict) -> tuple[tuple, DataFrame]:
+        """Nodes that can stand for a node of the pattern and have a touched one at or below it; equal branches are walked once."""
+        steps = {}
+        for types, direction, child in self.ways[node]:
+            shape, below = self.back(child, touched, edges, seen)
+            steps[types, direction, shape] = below
+        key = tuple(sorted(steps, key=repr))
+        if key not in seen:
+            out = touched
+            for (types, direction, _), below in steps.items():
+                e = edges.where(F.col("type").isin(*types)) if types else edges
+                for a, b, d in (("src", "dst", "out"), ("dst", "src", "in")):
+                    if direction in (d, "both"):
+                        out = out.unionByName(e.join(below, F.col("id") == F.col(b)).select(F.col(a).alias("id")))
+            seen[key] = settle(out.distinct()) if steps else touched
+        return key, seen[key]
+
     def process(self, batch: DataFrame, append: bool = True) -> DataFrame:
         """Add events to the graph; the changed matches as (data, meta.isPositiveMatch)."""
         batch = settle(batch)
